@@ -14,7 +14,7 @@ PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
 NOT_BUSINESS_TEXT = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1fก-๙]"
 BLANK = r"(?U)[\s\x1c-\x1f]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-LEFT_TO_RIGHT_MARK = "‎"
+LEFT_TO_RIGHT_MARK = "\u200e"
 TITLE_SEPARATOR = " . "
 LEADING_DIGIT = (
     r"^[\p{Nd}\x{B2}-\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}"

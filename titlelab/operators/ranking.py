@@ -35,9 +35,15 @@ def sort_columns(order: Sequence[str]) -> list[Column]:
     return [F.col(order_name(o)).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def match_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all ``keys`` (still an equi join for the planner)."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` treating nulls as equal; keeps the left side's key columns.
+
+    Still an equi join for the planner, so Catalyst picks broadcast only under its size
+    threshold and adaptive execution may split a skewed left side.
+    """
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def cap_per_group(
@@ -93,9 +99,8 @@ def numbered_within(
     """Number the rows of each group 1..n in ``order``, for groups of any size."""
     rows = numbered(df, [*keys, *order], "_no")
     first = rows.groupBy(*keys).agg(F.min("_no").alias("_first"))
-    joined = rows.join(first, match_on(rows, first, keys))
-    kept = [rows[c] for c in rows.columns if c != "_no"]
-    return joined.select(*kept, (rows["_no"] - first["_first"] + 1).alias(name))
+    joined = attach(rows, first, keys)
+    return joined.withColumn(name, F.col("_no") - F.col("_first") + 1).drop("_no", "_first")
 
 
 def hash_ranked(
@@ -128,9 +133,7 @@ def hash_ranked(
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(group).alias(size),
     )
-    joined = rows.join(offsets, match_on(rows, offsets, [*keys, "_bucket"]))
-    return joined.select(
-        *[rows[c] for c in df.columns],
-        (rows["_pos"] + offsets["_before"]).alias(rank),
-        offsets[size],
+    joined = attach(rows, offsets, [*keys, "_bucket"])
+    return joined.withColumn(rank, F.col("_pos") + F.col("_before")).drop(
+        "_md5", "_bucket", "_pos", "_before"
     )
