@@ -55,7 +55,7 @@ def require_title(df: DataFrame, title: str = "title") -> DataFrame:
 def training_view(df: DataFrame, title: str = "title", category: str = "main_name") -> DataFrame:
     """Title and category only, both present, under the names model jobs use."""
     view = df.select(F.col(title).alias("job_title"), F.col(category).alias("category"))
-    return view.na.drop("any", ["job_title", "category"])
+    return view.na.drop("any", subset=["job_title", "category"])
 
 
 def explode_titles(
@@ -101,4 +101,4 @@ def clean_titles(df: DataFrame, keep_blank: Sequence[str] = ()) -> DataFrame:
     df = trim_columns(strip_marks(df))
     needed = [c for c in df.columns if c not in keep_blank]
     blanked = df.withColumns({c: blank_to_null(c) for c in string_columns(df) if c in needed})
-    return blanked.na.drop("any", needed)
+    return blanked.na.drop("any", subset=needed) if needed else blanked
