@@ -34,7 +34,7 @@ _MODEL = f"""t AS ({TITLES_SQL}),
 
 @query(
     "sub_model_predict",
-    f"""WITH {_MODEL} SELECT id, main_id, sp.sub_id AS predicted_sub, round(score, 6) AS score FROM r JOIN sp USING (text, main_id)""",
+    f"""WITH {_MODEL} SELECT id, main_id, sp.sub_id AS predicted_sub, score FROM r JOIN sp USING (text, main_id)""",
 )
 def sub_model_predict(spark, sf):
     """Every main's own sub model, applied to its titles."""
@@ -43,13 +43,13 @@ def sub_model_predict(spark, sf):
     keyed = rows.select("id", "main_id", clean_text("title").alias("text"))
     found = centroids.predict_sub(keyed, model).withColumnRenamed("sub_id", "predicted_sub")
     joined = keyed.join(found, ["text", "main_id"])
-    return joined.select("id", "main_id", "predicted_sub", F.round("score", 6).alias("score"))
+    return joined.select("id", "main_id", "predicted_sub", "score")
 
 
 @query(
     "predict_hierarchy",
     f"""WITH {_MODEL} SELECT id, mp.main_id AS predicted_main, sp.sub_id AS predicted_sub,
-      round(mp.score, 6) AS main_score, round(sp.score, 6) AS sub_score
+      mp.score AS main_score, sp.score AS sub_score
     FROM r JOIN mp USING (text) JOIN sp ON sp.text = mp.text AND sp.main_id = mp.main_id""",
 )
 def predict_hierarchy(spark, sf):
@@ -59,8 +59,8 @@ def predict_hierarchy(spark, sf):
         "id",
         col("main_id").alias("predicted_main"),
         col("sub_id").alias("predicted_sub"),
-        F.round("main_score", 6).alias("main_score"),
-        F.round("sub_score", 6).alias("sub_score"),
+        "main_score",
+        "sub_score",
     )
 
 

@@ -28,7 +28,8 @@ _C = """cr AS (SELECT doc_id, term, tf * idf AS x FROM tf JOIN idf USING (term))
 
 
 def _documents_idf(spark, sf):
-    return tv.fit_idf(tv.distinct_texts(read_table(spark, "documents", sf), "doc_id"))
+    docs = read_table(spark, "documents", sf)
+    return tv.fit_idf(tv.document_terms(tv.distinct_texts(docs, "doc_id")), tv.row_total(docs))
 
 
 @query("tfidf_idf", f"WITH {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -50,15 +51,13 @@ def tfidf(spark, sf):
       FROM q JOIN c USING (term) GROUP BY ALL),
     r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
       FROM s WHERE score > 0.2)
-    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 3""",
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 3""",
 )
 def similar_docs(spark, sf):
     found = similar(
         read_table(spark, "benchmark", sf), read_table(spark, "documents", sf), "item_id", "doc_id"
     )
-    return found.select(
-        col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 6).alias("score")
-    )
+    return found.withColumnRenamed("query_id", "item_id")
 
 
 _TITLE_W = f"""t AS (SELECT title, count(*) AS m FROM (SELECT {strip_sql('title')} AS title FROM ({TITLES_SQL})) GROUP BY ALL),
@@ -78,8 +77,8 @@ def cosine_scores_query(spark, sf):
     """Scores between the distinct titles of the parts table."""
     cleaned = titles(spark, sf).select(tv.clean_text("title").alias("text"))
     docs = cleaned.groupBy("text").agg(F.count("*").alias("copies"))
-    docs = docs.withColumn("doc_id", col("text"))
-    w = tv.tfidf(tv.term_counts(docs), tv.fit_idf(docs))
+    terms = tv.term_counts(docs.withColumn("doc_id", col("text")))
+    w = tv.tfidf(terms, tv.fit_idf(terms, tv.row_total(cleaned)))
     scores = cosine_scores(w.withColumnRenamed("doc_id", "query_id"), w)
     return scores.withColumn("score", F.round("score", 6))
 

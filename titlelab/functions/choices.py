@@ -1,12 +1,14 @@
-"""Parsing a JSON choice such as ``{"id": 3, "name": "..."}``."""
+"""Parsing a JSON choice such as ``{"id": 3, "name": "..."}``.
+
+Split into small column steps so that a caller can put each in its own projection: the
+text is then parsed once per row, not once per use.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from titlelab.functions.text import trim_blank
-
 NOT_JSON = "NOT_JSON"
 BAD_JSON = "BAD_JSON"
 NO_ID = "NO_ID"
@@ -14,52 +16,41 @@ NOT_FOUND = "NOT_FOUND"
 OK = "OK"
 
 
-def _kind(member: Column) -> Column:
-    return F.schema_of_variant(member)
+def member(parsed: Column, path: str) -> Column:
+    """A member of a parsed reply as text, number, whole number and type name."""
+    return F.struct(
+        F.schema_of_variant(F.try_variant_get(parsed, path, "variant")).alias("kind"),
+        F.try_variant_get(parsed, path, "string").alias("text"),
+        F.try_variant_get(parsed, path, "double").alias("number"),
+        F.try_variant_get(parsed, path, "bigint").alias("whole"),
+    )
 
 
-def _filled(parsed: Column, path: str) -> Column:
+def is_filled(m: Column) -> Column:
     """True when the member exists and is not zero, empty or false."""
-    kind = _kind(F.try_variant_get(parsed, path, "variant"))
-    text = F.try_variant_get(parsed, path, "string")
-    number = F.try_variant_get(parsed, path, "double")
+    kind = m["kind"]
     empty = (
-        F.when(kind == "STRING", text == "")
-        .when(kind == "BOOLEAN", text == "false")
+        F.when(kind == "STRING", m["text"] == "")
+        .when(kind == "BOOLEAN", m["text"] == "false")
         .when(kind.isin("VOID", "ARRAY<VOID>", "OBJECT<>"), F.lit(True))
         .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
-        .otherwise(number == 0)
+        .otherwise(m["number"] == 0)
     )
     return kind.isNotNull() & ~F.coalesce(empty, F.lit(True))
 
 
-def _whole_number(parsed: Column, path: str) -> Column:
+def as_id(m: Column) -> Column:
     """The member as an id; text never counts as a number, a fraction never matches."""
-    kind = _kind(F.try_variant_get(parsed, path, "variant"))
-    number = F.try_variant_get(parsed, path, "double")
-    whole = F.try_variant_get(parsed, path, "bigint")
+    kind, number = m["kind"], m["number"]
+    fraction = (kind == "DOUBLE") | kind.startswith("DECIMAL")
     return (
-        F.when(kind == "BIGINT", whole)
-        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), F.when(number == F.floor(number), whole))
+        F.when(kind == "BIGINT", m["whole"])
+        .when(fraction, F.when(number == F.floor(number), m["whole"]))
         .when(kind == "BOOLEAN", F.lit(1).cast("bigint"))
     )
 
 
-def choice(text: Column, alt_key: str) -> Column:
-    """Struct ``(reason, id)``; ``reason`` is null when an id was given.
-
-    ``id`` falls back to ``alt_key`` when it is missing or empty. It stays null for an id
-    of the wrong type, which no catalogue row can match.
-    """
-    body = trim_blank(text)
-    parsed = F.try_parse_json(body)
-    main, alt = "$.id", f"$.{alt_key}"
-    reason = (
-        F.when(~F.coalesce(body.startswith("{"), F.lit(False)), NOT_JSON)
-        .when(parsed.isNull(), BAD_JSON)
-        .when(~(_filled(parsed, main) | _filled(parsed, alt)), NO_ID)
-    )
-    value = F.when(_filled(parsed, main), _whole_number(parsed, main)).otherwise(
-        _whole_number(parsed, alt)
-    )
-    return F.struct(reason.alias("reason"), F.when(reason.isNull(), value).alias("id"))
+def reply_reason(body: Column, parsed: Column, filled: Column) -> Column:
+    """Why a reply gives no id, or null when it does."""
+    opens = F.coalesce(body.startswith("{"), F.lit(False))
+    return F.when(~opens, NOT_JSON).when(parsed.isNull(), BAD_JSON).when(~filled, NO_ID)

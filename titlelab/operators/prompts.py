@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titlelab.functions.choices import choice
-from titlelab.functions.text import json_text
+from titlelab.functions.choices import as_id, is_filled, member, reply_reason
+from titlelab.functions.text import json_text, trim_blank
 from titlelab.operators.rules import EXACT_RULES, Rule
 
 MAIN_TEMPLATE = (
@@ -94,9 +94,22 @@ def sub_prompts(df: DataFrame, options: DataFrame, template: str = SUB_TEMPLATE)
 
 
 def parse_choice_reply(df: DataFrame, text: str = "text", alt_key: str = "occupation_id") -> DataFrame:
-    """Add ``reply_reason`` (null when an id was given) and ``reply_id``."""
-    return df.withColumn("_c", choice(F.col(text), alt_key)).select(
-        *[c for c in df.columns if c != text],
-        F.col("_c.reason").alias("reply_reason"),
-        F.col("_c.id").alias("reply_id"),
+    """Add ``reply_reason`` (null when an id was given) and ``reply_id``.
+
+    ``id`` falls back to ``alt_key`` when it is missing or empty. ``reply_id`` stays null
+    for an id of the wrong type, which no catalogue row can match.
+    """
+    others = [c for c in df.columns if c != text]
+    body = df.select(*others, trim_blank(text).alias("_body"))
+    parsed = body.select("*", F.try_parse_json("_body").alias("_parsed"))
+    members = parsed.select(
+        "*",
+        member(F.col("_parsed"), "$.id").alias("_id"),
+        member(F.col("_parsed"), f"$.{alt_key}").alias("_alt"),
     )
+    chosen = F.when(is_filled(F.col("_id")), F.col("_id")).otherwise(F.col("_alt"))
+    picked = members.select(*others, "_body", "_parsed", chosen.alias("_m"))
+    reason = reply_reason(F.col("_body"), F.col("_parsed"), is_filled(F.col("_m")))
+    judged = picked.select(*others, reason.alias("reply_reason"), as_id(F.col("_m")).alias("_value"))
+    value = F.when(F.col("reply_reason").isNull(), F.col("_value"))
+    return judged.select(*others, "reply_reason", value.alias("reply_id"))

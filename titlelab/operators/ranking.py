@@ -70,7 +70,7 @@ def cap_per_group(
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
     """Number all rows 1..n in ``order`` without moving them through one task.
 
-    Rows are range-partitioned and sorted, the placement is fixed by a checkpoint, and
+    Rows are range-partitioned and sorted, the placement is fixed by writing it down, and
     each partition's numbers are shifted by the row count before it. The only
     single-task step handles one row per partition.
     """

@@ -32,7 +32,7 @@ def distinct_texts(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 
 
 def term_counts(
-    docs: DataFrame, id_cols: Sequence[str] = ("doc_id",), text: str = "text"
+    docs: DataFrame, id_cols: Sequence[str] = ("doc_id", "copies"), text: str = "text"
 ) -> DataFrame:
     """``(ids..., term, tf)`` for cleaned text. A document's terms are counted before the
     shuffle, because they come from one row."""
@@ -40,14 +40,26 @@ def term_counts(
     return words.groupBy(*id_cols, "term").agg(F.count("*").alias("tf"))
 
 
-def fit_idf(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(term, df, idf)`` over documents with a ``copies`` count, empty ones included."""
-    present = docs.select("copies", F.explode(F.array_distinct(tokens(text))).alias("term"))
-    total = docs.agg(F.sum("copies")).scalar()
-    counts = present.groupBy("term").agg(F.sum("copies").alias("df"))
+def document_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(copies, term)``, each document's terms once. Enough for an idf table, and
+    cheaper than counting: terms are made distinct inside the row."""
+    return docs.select("copies", F.explode(F.array_distinct(tokens(text))).alias("term"))
+
+
+def fit_idf(terms: DataFrame, total: Column) -> DataFrame:
+    """``(term, df, idf)`` from rows ``(copies, term)``, one per document and term.
+
+    ``total`` counts every document, copies and documents without terms included.
+    """
+    counts = terms.groupBy("term").agg(F.sum("copies").alias("df"))
     return counts.withColumn("idf", F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1)
 
 
+def row_total(df: DataFrame) -> Column:
+    """Number of rows as a scalar subquery (answered from file footers where possible)."""
+    return df.agg(F.count("*")).scalar()
+
+
 def tfidf(terms: DataFrame, idf: DataFrame, id_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Unit-length weights ``(ids..., term, df, w)``; unknown terms are dropped first."""
     raw = terms.join(idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from titlelab.operators.ranking import cap_per_group
 from titlelab.operators.similarity import MIN_SCORE, TOP_SIMILAR, scores_above, top_similar
-from titlelab.operators.text_vectors import clean_text, distinct_texts, fit_idf, term_counts, tfidf
+from titlelab.operators.text_vectors import (
+    clean_text,
+    distinct_texts,
+    fit_idf,
+    row_total,
+    term_counts,
+    tfidf,
+)
+from titlelab.session import durable
 
 
 def similar(
@@ -26,9 +34,11 @@ def similar(
     """
     q_docs = distinct_texts(queries, query_id, text)
     c_docs = distinct_texts(corpus, doc_id, text)
-    idf = fit_idf(c_docs)
-    q = tfidf(term_counts(q_docs), idf).withColumnRenamed("doc_id", "query_id")
-    c = tfidf(term_counts(c_docs), idf)
+    # The index tables are read by several steps below: written once, read from there.
+    terms = durable(term_counts(c_docs))
+    idf = durable(fit_idf(terms, row_total(corpus)))
+    c = durable(tfidf(terms, idf))
+    q = durable(tfidf(term_counts(q_docs), idf).withColumnRenamed("doc_id", "query_id"))
     scores = scores_above(q, c, min_score)
 
     copies = _lowest_copies(corpus, doc_id, text, n).withColumnRenamed("first_id", "doc_id")

@@ -33,34 +33,33 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for intermediate tables and stream progress.
 
     It is the one the session names in ``spark.checkpoint.dir``. Only a local session
     without that setting gets a temporary folder; on a cluster a machine-local folder
     would be lost with its machine, so a missing setting is an error there.
     """
-    context = spark.sparkContext
     named = spark.conf.get(_CHECKPOINT_KEY, None)
     if named is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
         named = tempfile.mkdtemp(prefix="titlelab-")
         spark.conf.set(_CHECKPOINT_KEY, named)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
     return named
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it from there afterwards.
-
-    Used where several branches must see exactly the same row placement, and to cut
-    lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder no earlier run has used."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder once and read it from there afterwards.
+
+    Used where several later steps read the same rows, or must see exactly the same row
+    placement. It cuts lineage: a lost executor costs a re-read, not a recomputation. The
+    planner also sees the table's true size when it picks joins.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
