@@ -41,7 +41,8 @@ def sub_model_predict(spark, sf):
     rows = titles(spark, sf)
     model = centroids.fit_title_model(rows)
     keyed = rows.select("id", "main_id", clean_text("title").alias("text"))
-    found = centroids.predict_sub(keyed, model).withColumnRenamed("sub_id", "predicted_sub")
+    weights = centroids.scoring_weights(keyed, model)
+    found = centroids.predict_sub(keyed, weights, model).withColumnRenamed("sub_id", "predicted_sub")
     joined = keyed.join(found, ["text", "main_id"])
     return joined.select("id", "main_id", "predicted_sub", "score")
 

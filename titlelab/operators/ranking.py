@@ -110,7 +110,7 @@ def hash_ranked(
     seed: int = 42,
     rank: str = "rank",
     size: str = "group_size",
-    bits: int = 12,
+    bits: int = 16,
 ) -> DataFrame:
     """Rank each group's rows 1..n in seeded md5 order of ``id_col``; adds the group size.
 

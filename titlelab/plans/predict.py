@@ -20,6 +20,7 @@ from titlelab.operators.centroids import (
     fit_centroids,
     predict_main,
     predict_sub,
+    scoring_weights,
     title_weights,
 )
 from titlelab.operators.cleaning import validate_requests
@@ -35,6 +36,7 @@ from titlelab.operators.rules import (
     name_key,
 )
 from titlelab.operators.text_vectors import clean_text
+from titlelab.session import durable
 
 OK, REJECTED, FAILED, PARTIAL = "OK", "REJECTED", "FAILED", "PARTIAL"
 RULE, MODEL, BUSINESS, FALLBACK = "RULE", "MODEL", "BUSINESS", "FALLBACK"
@@ -72,7 +74,7 @@ def fit_business_centroids(history: DataFrame, model: TitleModel) -> DataFrame:
         .agg(F.count("*").alias("copies"))
     )
     weights = title_weights(members.select("text").distinct(), model.idf)
-    return fit_centroids(members, weights, ["business", "main_id"])
+    return durable(fit_centroids(members, weights, ["business", "main_id"]))
 
 
 def _by_rule(titles: DataFrame, catalog: Catalog, rules: RuleSet) -> DataFrame:
@@ -86,17 +88,19 @@ def _by_rule(titles: DataFrame, catalog: Catalog, rules: RuleSet) -> DataFrame:
     return ruled.join(names, "_key", "left").select(*kept, clean_text("job_title").alias("text"))
 
 
-def _model_main(titles: DataFrame, model: TitleModel) -> DataFrame:
-    found = predict_main(titles.select("text").distinct(), model)
-    return found.select("text", F.col("main_id").alias("model_main_id"))
+def _model_main(weights: DataFrame, model: TitleModel) -> DataFrame:
+    return predict_main(weights, model).select("text", F.col("main_id").alias("model_main_id"))
 
 
-def _with_sub(decided: DataFrame, catalog: Catalog, model: TitleModel, rules: RuleSet) -> DataFrame:
+def _with_sub(
+    decided: DataFrame, weights: DataFrame, catalog: Catalog, model: TitleModel, rules: RuleSet
+) -> DataFrame:
     """Resolve the main, then choose and resolve a sub inside it."""
+    decided = durable(decided)
     named = resolve_id(decided, catalog.main, "main_id", "main_id", "main_name")
     named = named.withColumnsRenamed({"resolved_id": "live_main", "resolved_name": "main_occupation"})
 
-    scored = predict_sub(named.where(F.col("live_main").isNotNull()), model)
+    scored = predict_sub(named.where(F.col("live_main").isNotNull()), weights, model)
     scored = scored.select("text", F.col("main_id").alias("live_main"), F.col("sub_id").alias("model_sub"))
     subs = catalog.sub.groupBy(
         F.col("main_id").alias("live_main"), name_key("sub_name").alias("_name")
@@ -159,13 +163,15 @@ def predict_member(
     checked = validate_requests(requests).withColumnRenamed("reason", "reject")
     titles = checked.where(F.col("reject").isNull()).select("job_title").distinct()
     ruled = _by_rule(titles, catalog, rules)
-    decided = ruled.join(_model_main(ruled, model), "text", "left").select(
+    weights = scoring_weights(ruled, model)
+    decided = ruled.join(_model_main(weights, model), "text", "left").select(
         "job_title",
         "text",
         F.coalesce("rule_main_id", "model_main_id").alias("main_id"),
         F.when(F.col("rule_main_id").isNotNull(), RULE).otherwise(MODEL).alias("how"),
     )
-    return _answer(checked, _with_sub(decided, catalog, model, rules), ["job_title"], ())
+    done = _with_sub(decided, weights, catalog, model, rules)
+    return _answer(checked, done, ["job_title"], ())
 
 
 def predict_employer(
@@ -188,9 +194,9 @@ def predict_employer(
         .distinct()
     )
     ruled = _by_rule(wanted, catalog, rules)
+    weights = scoring_weights(ruled, model)
     pairs = ruled.select("text", "business").distinct()
-    weights = title_weights(pairs.select("text").distinct(), model.idf).select("text", "term", "w")
-    scoped = pairs.join(weights, "text")
+    scoped = pairs.join(weights.select("text", "term", "w"), "text")
     special = best_class(scoped, business_centroids, ["text"], ["business"], "main_id").select(
         "text", "business", F.col("main_id").alias("business_main_id")
     )
@@ -201,7 +207,7 @@ def predict_employer(
     )
     decided = (
         ruled.join(special, ["text", "business"], "left")
-        .join(_model_main(ruled, model), "text", "left")
+        .join(_model_main(weights, model), "text", "left")
         .select(
             "job_title",
             "text",
@@ -210,5 +216,5 @@ def predict_employer(
             how.alias("how"),
         )
     )
-    done = _with_sub(decided, catalog, model, rules)
+    done = _with_sub(decided, weights, catalog, model, rules)
     return _answer(checked, done, ["job_title", "bussiness_type"], ["bussiness_type"])

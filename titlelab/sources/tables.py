@@ -64,7 +64,9 @@ def read_titles(
 
 def write_titles(df: DataFrame, path: str) -> None:
     """Titles CSV with a header, one file per partition."""
-    df.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+    writer = df.write.option("header", True).option("escape", '"').mode("overwrite")
+    keep_blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    writer.options(**keep_blanks).csv(path)
 
 
 def null_tokens(
