@@ -26,7 +26,8 @@ def title_counts(spark, sf):
       10 - count(DISTINCT title) AS need FROM ({TITLES_SQL}) GROUP BY ALL HAVING count(DISTINCT title) < 10""",
 )
 def title_shortfall(spark, sf):
-    return ops.title_shortfall(titles(spark, sf))
+    uses = ops.title_uses(titles(spark, sf), ["main_id", "main_name", "sub_id", "sub_name"])
+    return ops.title_shortfall(uses)
 
 
 @query(

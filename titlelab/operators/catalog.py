@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titlelab.operators.ranking import cap_per_group, numbered
+from titlelab.session import durable
 
 # The flag settings of a live catalogue row or post, and the language id
 # of the descriptions in use.
@@ -44,7 +45,7 @@ def recent(df: DataFrame, ts: str, as_of: Column, months: int = 3) -> DataFrame:
 
 def in_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows whose ``on`` value appears in ``ids`` (a table, not an inlined list)."""
-    return df.join(ids.select(on).distinct(), on, "left_semi")
+    return df.join(ids.select(on), on, "left_semi")
 
 
 def thai_order(name: Column | str) -> Column:
@@ -120,8 +121,10 @@ def resolve_id(
 
     Both stay null for an unknown id. A repeated catalogue id gives one match.
     """
-    known = catalog.groupBy(F.col(catalog_id).alias("resolved_id")).agg(
-        F.min(catalog_name).alias("resolved_name")
+    known = durable(
+        catalog.groupBy(F.col(catalog_id).alias("resolved_id")).agg(
+            F.min(catalog_name).alias("resolved_name")
+        )
     )
     return df.join(known, F.col(id_col) == F.col("resolved_id"), "left")
 
@@ -130,7 +133,7 @@ def attach_name(
     df: DataFrame, mapping: DataFrame, on: str, name: str, default: str = NAME_MISSING
 ) -> DataFrame:
     """Add the name of an id, or the default text when it has none."""
-    names = mapping.groupBy(on).agg(F.min(name).alias(name))
+    names = durable(mapping.groupBy(on).agg(F.min(name).alias(name)))
     joined = df.join(names, on, "left")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
 

@@ -98,7 +98,7 @@ def numbered_within(
 ) -> DataFrame:
     """Number the rows of each group 1..n in ``order``, for groups of any size."""
     rows = numbered(df, [*keys, *order], "_no")
-    first = rows.groupBy(*keys).agg(F.min("_no").alias("_first"))
+    first = durable(rows.groupBy(*keys).agg(F.min("_no").alias("_first")))
     joined = attach(rows, first, keys)
     return joined.withColumn(name, F.col("_no") - F.col("_first") + 1).drop("_no", "_first")
 

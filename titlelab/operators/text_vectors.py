@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from titlelab.functions.text import strip_punct, tokens
+from titlelab.session import durable
 
 
 def clean_text(value: Column | str) -> Column:
@@ -47,12 +48,13 @@ def document_terms(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit_idf(terms: DataFrame, total: Column) -> DataFrame:
-    """``(term, df, idf)`` from rows ``(copies, term)``, one per document and term.
+    """Fitted table ``(term, df, idf)`` from rows ``(copies, term)``, one per document and term.
 
     ``total`` counts every document, copies and documents without terms included.
     """
     counts = terms.groupBy("term").agg(F.sum("copies").alias("df"))
-    return counts.withColumn("idf", F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1)
+    smoothed = F.log((F.lit(1) + total) / (F.lit(1) + F.col("df"))) + 1
+    return durable(counts.withColumn("idf", smoothed))
 
 
 def row_total(df: DataFrame) -> Column:

@@ -36,14 +36,14 @@ def similar(
     c_docs = distinct_texts(corpus, doc_id, text)
     # The index tables are read by several steps below: written once, read from there.
     terms = durable(term_counts(c_docs))
-    idf = durable(fit_idf(terms, row_total(corpus)))
+    idf = fit_idf(terms, row_total(corpus))
     c = durable(tfidf(terms, idf))
     q = durable(tfidf(term_counts(q_docs), idf).withColumnRenamed("doc_id", "query_id"))
     scores = scores_above(q, c, min_score)
 
     copies = _lowest_copies(corpus, doc_id, text, n).withColumnRenamed("first_id", "doc_id")
     listed = scores.join(copies, "doc_id").select("query_id", F.col("copy_id").alias("doc_id"), "score")
-    best = top_similar(listed, n, min_score)
+    best = durable(top_similar(listed, n, min_score))
     asked = _all_copies(queries, query_id, text).withColumnRenamed("first_id", "query_id")
     return best.join(asked, "query_id").select(
         F.col("copy_id").alias("query_id"), "rank", "doc_id", "score"
@@ -53,7 +53,7 @@ def similar(
 def _all_copies(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(first_id, copy_id)`` for every row, through a digest of the cleaned text."""
     keyed = df.select(F.sha2(clean_text(text), 256).alias("_text"), F.col(id_col).alias("copy_id"))
-    first = keyed.groupBy("_text").agg(F.min("copy_id").alias("first_id"))
+    first = durable(keyed.groupBy("_text").agg(F.min("copy_id").alias("first_id")))
     return keyed.join(first, "_text").drop("_text")
 
 

@@ -19,8 +19,10 @@ from titlelab.operators.topup import (
     take_needed,
     title_counts,
     title_shortfall,
+    title_uses,
     under_target,
 )
+from titlelab.session import durable
 
 SUB_COLUMNS = ("main_id", "main_name", "sub_id", "sub_name", "title")
 MAIN_COLUMNS = ("main_id", "main_name", "title")
@@ -40,10 +42,11 @@ def new_sub_titles(
     groups are used.
     """
     keys = ["main_id", "sub_id"]
-    short = title_shortfall(titles, target, keys)
+    uses = title_uses(titles, SUB_COLUMNS[:-1])
+    short = durable(title_shortfall(uses, target, keys))
     if candidates is None:
-        candidates = sibling_donors(titles, short, target)
-    fresh = new_only(candidates, existing_titles(titles, keys), keys)
+        candidates = sibling_donors(uses, short, target)
+    fresh = new_only(candidates, existing_titles(uses, keys), keys)
     picked = take_needed(fresh, short, keys, target)
     return picked.join(short.drop("need", "n_titles"), keys).select(*SUB_COLUMNS)
 
@@ -65,12 +68,13 @@ def new_main_titles(
     other main occupations are offered.
     """
     keys = ["main_id"]
-    short = shortfall(under_target(title_counts(titles, keys), target), target)
+    uses = title_uses(titles, MAIN_COLUMNS[:-1])
+    short = durable(shortfall(under_target(title_counts(uses, keys), target), target))
     if candidates is None:
-        candidates = common_donors(titles, short, target)
-    fresh = new_only(candidates, existing_titles(titles, keys), keys)
+        candidates = common_donors(uses, short, target)
+    fresh = new_only(candidates, existing_titles(uses, keys), keys)
     picked = take_needed(fresh, short, keys, target)
-    names = titles.groupBy("main_id").agg(F.min("main_name").alias("main_name"))
+    names = uses.groupBy("main_id").agg(F.min("main_name").alias("main_name"))
     return picked.join(names, "main_id").select(*MAIN_COLUMNS)
 
 

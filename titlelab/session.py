@@ -39,12 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     without that setting gets a temporary folder; on a cluster a machine-local folder
     would be lost with its machine, so a missing setting is an error there.
     """
-    named = spark.conf.get(_CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    named = spark.conf.get(_CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="titlelab-")
-        spark.conf.set(_CHECKPOINT_KEY, named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="titlelab-"))
+        named = context.getCheckpointDir()
     return named
 
 
@@ -58,7 +59,9 @@ def durable(df: DataFrame) -> DataFrame:
 
     Used where several later steps read the same rows, or must see exactly the same row
     placement. It cuts lineage: a lost executor costs a re-read, not a recomputation. The
-    planner also sees the table's true size when it picks joins.
+    planner sees the table's true size when it picks joins, and a lookup side read from a
+    table is shuffled for the join itself, which is what lets adaptive execution split a
+    hot key on the other side (it cannot when an aggregate feeds the join directly).
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
