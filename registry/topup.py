@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.inputs import TITLES_SQL, col, lit, titles
+from titlelab.operators import prompts
 from titlelab.operators import topup as ops
 from titlelab.plans import topup as jobs
 
@@ -154,3 +155,19 @@ def fill_missing_titles(spark, sf):
 )
 def ordered_titles(spark, sf):
     return ops.ordered_titles(titles(spark, sf), ["main_name", "title", "id"]).select("id", "row_no")
+
+
+@query(
+    "more_titles_prompt",
+    f"""SELECT main_id, sub_id, n_titles, need, 'Write ' || need || ' job titles for the occupation ' || sub_name || '.' || chr(10)
+      || 'Do not repeat: ' || existing || chr(10) || 'Answer with one title per line and no numbers.' AS prompt
+    FROM (SELECT main_id, sub_id, sub_name, count(DISTINCT title) AS n_titles, 10 - count(DISTINCT title) AS need,
+      array_to_string(list_sort(list(DISTINCT title)), ', ') AS existing FROM ({TITLES_SQL}) GROUP BY ALL) WHERE need > 0""",
+)
+def more_titles_prompt(spark, sf):
+    """Requests for new titles, one per short group."""
+    uses = ops.title_uses(titles(spark, sf), ["main_id", "main_name", "sub_id", "sub_name"])
+    asked = prompts.more_titles_prompts(
+        ops.title_shortfall(uses), ops.title_lists(uses, _KEYS, 10), _KEYS, "sub_name"
+    )
+    return asked.select(*_KEYS, "n_titles", "need", "prompt")

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from compare import compare, connect
 from conftest import SMALL
 
-SLOW = {"svm_predict", "cross_validate", "forest_predict", "top_features", "word2vec"}
+SLOW = {"svm_predict", "cross_validate", "forest_predict", "top_features", "word2vec", "training_report"}
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,7 @@
 """Option lists and prompt texts; templates are data.
 
-Placeholders in a template: ``{job_title}``, ``{bussiness_type}``, ``{main_occupation}``,
-``{options}``, ``{guidance}``.
+A placeholder is a column name in braces, such as ``{job_title}``, ``{bussiness_type}``,
+``{main_occupation}`` or ``{options}``; ``{guidance}`` gives the direct rules.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ SUB_TEMPLATE = (
     'Answer with the JSON of the choice only, such as {"id": 0, "name": "..."}'
 )
 SUB_TEMPLATE_BUSINESS = "Business type: {bussiness_type}\n" + SUB_TEMPLATE
-MORE_TITLES_TEMPLATE = "Write {need} job titles for {main_occupation} that are not in: {options}"
+MORE_TITLES_TEMPLATE = (
+    "Write {need} job titles for the occupation {occupation}.\n"
+    "Do not repeat: {existing}\n"
+    "Answer with one title per line and no numbers."
+)
 
 _PLACE = re.compile(r"\{([a-z_]+)\}")
 
@@ -93,6 +97,20 @@ def sub_prompts(df: DataFrame, options: DataFrame, template: str = SUB_TEMPLATE)
     return build_prompts(df.join(options, "main_id", "left"), template).drop("options")
 
 
+def more_titles_prompts(
+    short: DataFrame, lists: DataFrame, keys: Sequence[str], name: str,
+    template: str = MORE_TITLES_TEMPLATE,
+) -> DataFrame:
+    """Prompt per group that lacks titles: how many, for which occupation, and those it has.
+
+    ``short`` comes from the shortfall operators, ``lists`` from ``title_lists`` with the
+    same target, so a prompt names fewer titles than the target.
+    """
+    listed = lists.select(*keys, F.concat_ws(", ", "titles").alias("existing"))
+    asked = short.join(listed, list(keys), "left").withColumn("occupation", F.col(name))
+    return build_prompts(asked, template).drop("existing", "occupation")
+
+
 def parse_choice_reply(df: DataFrame, text: str = "text", alt_key: str = "occupation_id") -> DataFrame:
     """Add ``reply_reason`` (null when an id was given) and ``reply_id``.
 
