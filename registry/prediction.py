@@ -120,20 +120,20 @@ def predict_member(spark, sf):
     bs AS (SELECT business, main_id, term, sum(w) AS s FROM w JOIN hb USING (id) GROUP BY ALL),
     bc AS (SELECT business, main_id, term, s / sqrt(sum(s * s) OVER (PARTITION BY business, main_id)) AS w FROM bs),
     rq AS (SELECT id AS request_id, CASE WHEN id % 7 = 0 THEN '' WHEN id % 9 = 0 THEN 'zzz' ELSE title END AS job_title,
-      CASE WHEN id % 5 = 0 THEN '' WHEN id % 6 = 0 THEN sub_name || ' new' ELSE '  ' || sub_name || '! ' END AS raw_business FROM t),
+      CASE WHEN id % 5 = 0 THEN '' WHEN id % 8 = 0 THEN '!!' WHEN id % 6 = 0 THEN sub_name || ' new' ELSE '  ' || sub_name || '! ' END AS raw_business FROM t),
     ck AS (SELECT *, CASE WHEN job_title = '' THEN 'NO_TITLE' WHEN raw_business = '' THEN 'NO_BUSINESS_TYPE' END AS reject,
-      {business_sql('raw_business')} AS bussiness_type FROM rq),
+      nullif({business_sql('raw_business')}, '') AS bussiness_type FROM rq),
     pr AS (SELECT DISTINCT job_title, {strip_sql('job_title')} AS text, bussiness_type FROM ck WHERE reject IS NULL),
     bp AS (SELECT text, bussiness_type, main_id FROM (SELECT text, bussiness_type, main_id, round(sum(q.w * bc.w), 8) AS score
         FROM (SELECT DISTINCT text, bussiness_type FROM pr) JOIN q USING (text) JOIN bc ON bc.business = bussiness_type AND bc.term = q.term GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY text, bussiness_type ORDER BY score DESC, main_id) = 1),
     d AS (SELECT pr.job_title, pr.text, pr.bussiness_type, coalesce(rule_main, bp.main_id, mp.main_id) AS main_id,
       CASE WHEN rule_main IS NOT NULL THEN 'RULE' WHEN bp.main_id IS NOT NULL THEN 'BUSINESS' ELSE 'FALLBACK' END AS how
-      FROM pr LEFT JOIN ru ON ru.job_title = pr.job_title LEFT JOIN bp ON bp.text = pr.text AND bp.bussiness_type = pr.bussiness_type
+      FROM pr LEFT JOIN ru ON ru.job_title = pr.job_title LEFT JOIN bp ON bp.text = pr.text AND bp.bussiness_type IS NOT DISTINCT FROM pr.bussiness_type
       LEFT JOIN mp ON mp.text = pr.text), {_FINISH}
     SELECT request_id, ck.job_title, live_main AS occupation_id, main_occupation, live_sub AS sub_occupation_id, sub_occupation_name,
       ck.bussiness_type, {_STATUS}
-    FROM ck LEFT JOIN ans ON ans.job_title = ck.job_title AND ans.bussiness_type = ck.bussiness_type AND reject IS NULL""",
+    FROM ck LEFT JOIN ans ON ans.job_title = ck.job_title AND ans.bussiness_type IS NOT DISTINCT FROM ck.bussiness_type AND reject IS NULL""",
 )
 def predict_employer(spark, sf):
     """As above with a business type: some blank, some without history."""
@@ -141,6 +141,7 @@ def predict_employer(spark, sf):
     asked = F.when(col("id") % 7 == 0, "").when(col("id") % 9 == 0, "zzz").otherwise(col("title"))
     business = (
         F.when(col("id") % 5 == 0, "")
+        .when(col("id") % 8 == 0, "!!")
         .when(col("id") % 6 == 0, F.concat("sub_name", lit(" new")))
         .otherwise(F.concat(lit("  "), "sub_name", lit("! ")))
     )

@@ -59,7 +59,7 @@ def test_every_request_is_answered_once(spark, world):
 
 def test_employer_uses_the_business_type_then_falls_back(spark, world):
     catalog, model, special = world
-    data = [(1, "engineer", " ก่อสร้าง! "), (2, "engineer", "โรงงาน"), (3, "site engineer", "ธนาคาร"), (4, "engineer", ""), (5, "", "x"), (6, "AE", "โรงงาน"), (7, "site", "โรงงาน"), (8, "qqq", "โรงงาน")]
+    data = [(1, "engineer", " ก่อสร้าง! "), (2, "engineer", "โรงงาน"), (3, "site engineer", "ธนาคาร"), (4, "engineer", ""), (5, "", "x"), (6, "AE", "โรงงาน"), (7, "site", "โรงงาน"), (8, "qqq", "โรงงาน"), (9, "engineer", "!?"), (10, "engineer", None)]
     df = spark.createDataFrame(data, "request_id int, job_title string, bussiness_type string")
     got = {r.request_id: (r.occupation_id, r.bussiness_type, r.status, r.reason) for r in predict.predict_employer(df, catalog, model, special).collect()}
     assert got[1] == (2, "ก่อสร้าง", "OK", "BUSINESS")
@@ -69,6 +69,8 @@ def test_employer_uses_the_business_type_then_falls_back(spark, world):
     assert got[6][0] == 1 and got[6][3] == "RULE"
     assert got[7][0] == 2 and got[7][3] == "FALLBACK"
     assert got[8][2:] == ("FAILED", "NO_MATCH")
+    assert got[9][1] is None and got[9][3] == "FALLBACK" and got[9][0] in (1, 2)
+    assert got[10] == (None, None, "REJECTED", "NO_BUSINESS_TYPE")
 
 
 def test_saved_model_predicts_the_same(spark, world, tmp_path):

@@ -152,5 +152,6 @@ def test_hierarchy_stays_inside_the_main(spark):
 def test_centroids_have_unit_length_and_weigh_copies(spark):
     members = spark.createDataFrame([(1, "aa", 3), (1, "bb", 1)], "main_id int, text string, copies long")
     w = spark.createDataFrame([("aa", "aa", 1.0), ("bb", "bb", 1.0)], "text string, term string, w double")
-    got = {r.term: r.w for r in centroids.fit_centroids(members, w, ["main_id"]).collect()}
+    sums = centroids.class_sums(members, w, ["main_id"])
+    got = {r.term: r.w for r in centroids.fit_centroids(sums, ["main_id"]).collect()}
     assert np.allclose([got["aa"], got["bb"]], np.array([3, 1]) / math.sqrt(10))

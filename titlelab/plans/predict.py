@@ -12,11 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlelab.functions.text import clean_business_type
+from titlelab.functions.text import blank_to_null, clean_business_type
 from titlelab.operators.catalog import resolve_id
 from titlelab.operators.centroids import (
     TitleModel,
     best_class,
+    class_sums,
     fit_centroids,
     predict_main,
     predict_sub,
@@ -74,7 +75,8 @@ def fit_business_centroids(history: DataFrame, model: TitleModel) -> DataFrame:
         .agg(F.count("*").alias("copies"))
     )
     weights = title_weights(members.select("text").distinct(), model.idf)
-    return fit_centroids(members, weights, ["business", "main_id"])
+    keys = ["business", "main_id"]
+    return fit_centroids(durable(class_sums(members, weights, keys)), keys)
 
 
 def _by_rule(titles: DataFrame, catalog: Catalog, rules: RuleSet) -> DataFrame:
@@ -153,7 +155,8 @@ def prediction_record(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def _answer(checked: DataFrame, done: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
     fields = ["main_id", "live_main", "main_occupation", "sub_id", "sub_occupation_name", "how"]
     joined = attach(checked, done.select(*keys, *fields), keys, "left")
-    return prediction_record(joined, extra)
+    valid = F.col("reject").isNull()
+    return prediction_record(joined.withColumns({f: F.when(valid, F.col(f)) for f in fields}), extra)
 
 
 def predict_member(
@@ -187,7 +190,9 @@ def predict_employer(
     else from the title model alone, which the reason then calls ``FALLBACK``.
     """
     checked = validate_requests(requests, need_business=True).withColumnRenamed("reason", "reject")
-    checked = checked.withColumn("bussiness_type", clean_business_type("bussiness_type"))
+    # Nothing left after cleaning counts as no business type given: the title decides.
+    cleaned = blank_to_null(clean_business_type("bussiness_type"))
+    checked = checked.withColumn("bussiness_type", cleaned)
     wanted = (
         checked.where(F.col("reject").isNull())
         .select("job_title", F.col("bussiness_type").alias("business"))
