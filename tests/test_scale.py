@@ -155,9 +155,9 @@ def test_a_query_with_many_matches_is_split(spark):
     texts = spark.range(4000).repartition(8).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id") % 900).alias("text"))
     docs = texts.withColumn("copies", F.lit(1))
     terms = durable(text_vectors.term_counts(docs))
-    w = durable(text_vectors.tfidf(terms, text_vectors.fit_idf(terms, text_vectors.row_total(docs))))
+    w = durable(text_vectors.tfidf_runs(terms, text_vectors.fit_idf(terms, text_vectors.row_total(docs))))
     q = durable(w.where("doc_id < 30").withColumnRenamed("doc_id", "query_id").union(
-        spark.sql("select -1L, 'common', 4000L, 1.0D")))
+        spark.sql("select -1L, 'common', 1.0D, 1.0D, 1")))
     with tiny_thresholds(spark):
         got = scores_above(q, w, 0.05)
         assert "skew=true" in final_plan(got)

@@ -60,7 +60,7 @@ def test_bounded_search_equals_brute_force(spark, min_score, longest):
     df = frame(spark, texts)
     docs = df.withColumn("copies", F.lit(1))
     terms = text_vectors.term_counts(docs)
-    table = text_vectors.tfidf(terms, text_vectors.fit_idf(terms, text_vectors.row_total(df)))
+    table = text_vectors.tfidf_runs(terms, text_vectors.fit_idf(terms, text_vectors.row_total(df)))
     found = similarity.scores_above(table.withColumnRenamed("doc_id", "query_id"), table, min_score)
     got = {(r.query_id, r.doc_id): r.score for r in found.collect()}
     want = {}
@@ -94,7 +94,7 @@ def test_common_terms_alone_pair_nothing(spark):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("manager x"), F.col("id"), F.lit(" y"), F.col("id")).alias("text"))
     docs = text_vectors.distinct_texts(df, "doc_id")
     terms = text_vectors.term_counts(docs)
-    w = text_vectors.tfidf(terms, text_vectors.fit_idf(terms, text_vectors.row_total(df)))
+    w = text_vectors.tfidf_runs(terms, text_vectors.fit_idf(terms, text_vectors.row_total(df)))
     got = similarity.scores_above(w.withColumnRenamed("doc_id", "query_id"), w)
     assert got.count() == n and got.where("query_id <> doc_id").count() == 0
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from titlelab.operators.ranking import cap_per_group, numbered
 from titlelab.session import durable
 
-# The flag settings of a live catalogue row or post, and the language id
-# of the descriptions in use.
+# The flag settings of a live catalogue row or post, the language id
+# of the descriptions in use, and the text shown for a missing name.
 ACTIVE = {"is_status": "1", "is_flags": "0", "is_online": "1"}
 LANGUAGE = "1"
 NAME_MISSING = "ไม่พบข้อมูล"

@@ -62,8 +62,33 @@ def row_total(df: DataFrame) -> Column:
     return df.agg(F.count("*")).scalar()
 
 
+def _raw_weights(terms: DataFrame, idf: DataFrame) -> DataFrame:
+    """Weights before scaling; unknown terms are dropped here."""
+    return terms.join(idf, "term").withColumn("_x", F.col("tf") * F.col("idf"))
+
+
 def tfidf(terms: DataFrame, idf: DataFrame, id_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Unit-length weights ``(ids..., term, df, w)``; unknown terms are dropped first."""
-    raw = terms.join(idf, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(*id_cols)))
-    return raw.select(*id_cols, "term", "df", (F.col("_w") / norm).alias("w"))
+    """Unit-length weights ``(ids..., term, df, w)``."""
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(*id_cols)))
+    return _raw_weights(terms, idf).select(*id_cols, "term", "df", (F.col("_x") / norm).alias("w"))
+
+
+def tfidf_runs(terms: DataFrame, idf: DataFrame, id_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Unit-length weights with what a bounded search needs: ``(ids..., term, w, run, pos)``.
+
+    A document's terms are taken from the most to the least common, an order all documents
+    share. ``pos`` is a term's place in it; ``run`` adds up the squared weights to there.
+    Scaling and order come out of the same shuffle.
+    """
+    document = W.partitionBy(*id_cols)
+    common_first = document.orderBy(F.col("df").desc(), "term")
+    square = F.col("_x") * F.col("_x")
+    total = F.sum(square).over(document)
+    up_to = common_first.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return _raw_weights(terms, idf).select(
+        *id_cols,
+        "term",
+        (F.col("_x") / F.sqrt(total)).alias("w"),
+        (F.sum(square).over(up_to) / total).alias("run"),
+        F.row_number().over(common_first).alias("pos"),
+    )

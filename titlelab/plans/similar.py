@@ -13,7 +13,7 @@ from titlelab.operators.text_vectors import (
     fit_idf,
     row_total,
     term_counts,
-    tfidf,
+    tfidf_runs,
 )
 from titlelab.session import durable
 
@@ -37,8 +37,9 @@ def similar(
     # The index tables are read by several steps below: written once, read from there.
     terms = durable(term_counts(c_docs))
     idf = fit_idf(terms, row_total(corpus))
-    c = durable(tfidf(terms, idf))
-    q = durable(tfidf(term_counts(q_docs), idf).withColumnRenamed("doc_id", "query_id"))
+    c = durable(tfidf_runs(terms, idf))
+    q_terms = term_counts(q_docs.withColumnRenamed("doc_id", "query_id"), ["query_id"])
+    q = durable(tfidf_runs(q_terms, idf, ["query_id"]))
     scores = scores_above(q, c, min_score)
 
     copies = _lowest_copies(corpus, doc_id, text, n).withColumnRenamed("first_id", "doc_id")
