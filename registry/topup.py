@@ -86,6 +86,16 @@ def new_titles(spark, sf):
     return jobs.new_sub_titles(titles(spark, sf))
 
 
+@query(
+    "first_candidate",
+    f"""SELECT main_id, min_by(title, id) AS title FROM ({TITLES_SQL}) GROUP BY main_id""",
+)
+def first_candidate(spark, sf):
+    """The first title offered for each main when titles are offered by id."""
+    offered = titles(spark, sf).select("main_id", col("id").alias("pos"), "title")
+    return ops.first_candidate(offered, ["main_id"])
+
+
 @query(
     "topped_up",
     f"""WITH {_NEW} SELECT main_id, main_name, sub_id, sub_name, title FROM t

@@ -162,3 +162,17 @@ def test_a_query_with_many_matches_is_split(spark):
         got = scores_above(q, w, 0.05)
         assert "skew=true" in final_plan(got)
         assert got.where("query_id = -1").count() == 4000
+
+
+def test_a_hot_main_is_split_when_predictions_are_resolved(spark, hot_titles):
+    """Half of the distinct titles fall to one main; its lookups use several tasks."""
+    from titlelab.plans.predict import Catalog, predict_member
+
+    model = centroids.fit_title_model(hot_titles.select("main_id", "sub_id", "title"))
+    main = hot_titles.select("main_id", F.col("main_id").cast("string").alias("main_name")).distinct()
+    subs = hot_titles.select("main_id", "sub_id", F.col("sub_id").cast("string").alias("sub_name")).distinct()
+    asked = hot_titles.select(F.col("id").alias("request_id"), F.col("title").alias("job_title"))
+    with tiny_thresholds(spark):
+        got = predict_member(asked, Catalog(main, subs), model)
+        assert "skew=true" in final_plan(got)
+    assert got.count() == 6000

@@ -81,8 +81,10 @@ def fit_business_centroids(history: DataFrame, model: TitleModel) -> DataFrame:
 
 def _by_rule(titles: DataFrame, catalog: Catalog, rules: RuleSet) -> DataFrame:
     """Add ``text`` and the main id a rule gives, if its category is in the catalogue."""
-    names = catalog.main.groupBy(name_key("main_name").alias("_key")).agg(
-        F.min("main_id").alias("rule_main_id")
+    names = durable(
+        catalog.main.groupBy(name_key("main_name").alias("_key")).agg(
+            F.min("main_id").alias("rule_main_id")
+        )
     )
     ruled = apply_rules(titles, "job_title", rules.exact, rules.contains)
     ruled = ruled.withColumn("_key", name_key("rule_category"))
@@ -104,9 +106,11 @@ def _with_sub(
 
     scored = predict_sub(named.where(F.col("live_main").isNotNull()), weights, model)
     scored = scored.select("text", F.col("main_id").alias("live_main"), F.col("sub_id").alias("model_sub"))
-    subs = catalog.sub.groupBy(
-        F.col("main_id").alias("live_main"), name_key("sub_name").alias("_name")
-    ).agg(F.min("sub_id").alias("_sub"))
+    subs = durable(
+        catalog.sub.groupBy(
+            F.col("main_id").alias("live_main"), name_key("sub_name").alias("_name")
+        ).agg(F.min("sub_id").alias("_sub"))
+    )
     hint = match_rule("job_title", rules.sub, CONTAINS)
     same = subs.withColumnsRenamed({"_name": "_same", "_sub": "same_sub"})
     near = subs.withColumnsRenamed({"_name": "_near", "_sub": "near_sub"})
@@ -117,9 +121,11 @@ def _with_sub(
         .join(near, ["live_main", "_near"], "left")
         .withColumn("sub_id", F.coalesce("same_sub", "near_sub", "model_sub"))
     )
-    known = catalog.sub.groupBy(
-        F.col("main_id").alias("live_main"), F.col("sub_id").alias("sub_id")
-    ).agg(F.min("sub_name").alias("sub_occupation_name"))
+    known = durable(
+        catalog.sub.groupBy(
+            F.col("main_id").alias("live_main"), F.col("sub_id").alias("sub_id")
+        ).agg(F.min("sub_name").alias("sub_occupation_name"))
+    )
     return chosen.join(known, ["live_main", "sub_id"], "left").withColumn(
         "sub_id", F.when(F.col("sub_occupation_name").isNotNull(), F.col("sub_id"))
     )
