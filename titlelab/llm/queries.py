@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelab.llm import langid, packing, quality, secrets
+from titlelab.llm import jaccard, langid, packing, quality, secrets
 from titlelab.llm.common import is_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(table(spark, sf, "documents"))
+
+
 @query
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
