@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelab.llm import jaccard, langid, packing, quality, secrets
+from titlelab.llm import bpe, jaccard, langid, packing, quality, secrets
 from titlelab.llm.common import is_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
