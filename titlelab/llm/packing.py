@@ -30,7 +30,7 @@ SIZE = 4096
 END = 1
 BIN = 16
 #: Distinct words whose ids a task remembers at a time.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, k long"
 
@@ -50,7 +50,7 @@ def tokenise(docs: DataFrame, text: str, key: str, path: str, size: int) -> Data
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = encoder(path)
+        encode = Encoder(path).texts
         part, seen = TaskContext.get().partitionId(), Counter()
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
@@ -76,28 +76,79 @@ def tokenise(docs: DataFrame, text: str, key: str, path: str, size: int) -> Data
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def encoder(path: str):
-    """Texts to little-endian ids. The vocabulary never joins across blanks and line ends, so
-    words between them are encoded once and remembered."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {"": b""}
-
-    def encode(texts):
-        for first in range(0, len(texts), 256):
-            words = [t.replace("\n", " ").split(" ") for t in texts[first : first + 256]]
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-            fresh = list(set().union(*words).difference(known))
-            for word, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-            for row in words:
-                yield b"".join(map(known.__getitem__, row))
+def _latin(text: str) -> bool:
+    """Whether all characters are in Latin-1, where lower-casing is one to one and nothing composes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Encoder:
+    """Texts to little-endian ids.
+
+    The vocabulary never joins across blanks and line ends, so words between them are encoded
+    once and remembered. New words of Latin-1 characters are cut by the vocabulary's own pattern
+    first; the distinct pieces are encoded many to a call. Other words are encoded one by one.
+    """
+
+    #: The vocabulary's pattern after lower-casing (a fixed value).
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    JOINED = 64
 
-    return encode
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.cut = regex.compile(self.PATTERN).findall
+        self.run = regex.compile(r"[.,](?:_|[^\s\w])|(?:_|[^\s\w])[.,]").search
+        self.whole: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def texts(self, texts: list[str]):
+        """The ids of each text."""
+        for first in range(0, len(texts), 512):
+            words = [self._spread(t).replace("\n", " ").split(" ") for t in texts[first : first + 512]]
+            self.learn(set().union(*words).difference(self.whole))
+            for row in words:
+                yield b"".join(map(self.whole.__getitem__, row))
+            if len(self.whole) > REMEMBERED:
+                self.whole.clear()
+                self.pieces.clear()
+
+    def learn(self, words: set[str]) -> None:
+        plain = list(filter(_latin, words))
+        rare = list(words.difference(plain)) if len(plain) < len(words) else []
+        self.whole.update(zip(rare, self._each(rare)))
+        cut = [[w] if w.isalpha() else self.cut(w) for w in map(str.lower, plain)]
+        self._learn_pieces(list(set().union(*cut).difference(self.pieces)))
+        known = self.pieces
+        for word, pieces in zip(plain, cut):
+            self.whole[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+
+    def _spread(self, text: str) -> str:
+        """The same pre-tokens in a form that has fewer distinct words: lower case, and stops and
+        commas apart from their words, unless they stand in a run of marks."""
+        if not _latin(text):
+            return text
+        text = text.lower()
+        return text if self.run(text) else text.replace(",", " , ").replace(".", " . ")
+
+    def _each(self, words: list[str]):
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        groups = [pieces[i : i + self.JOINED] for i in range(0, len(pieces), self.JOINED)]
+        for group, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            cuts = np.flatnonzero(np.diff(np.array(found.word_ids))) + 1
+            if len(cuts) + 1 != len(group):  # a piece that the vocabulary cuts further
+                self.pieces.update(zip(group, self._each(group)))
+                continue
+            raw, ends = np.array(found.ids, "<u4").tobytes(), [0, *(4 * cuts).tolist(), 4 * len(found.ids)]
+            self.pieces.update(zip(group, [raw[x:y] for x, y in zip(ends, ends[1:])]))
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelab.llm import bpe, jaccard, langid, packing, quality, secrets
+from titlelab.llm import bpe, hpylm, jaccard, langid, packing, quality, secrets, winnow
 from titlelab.llm.common import is_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,26 @@ def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.join(table(spark, sf, "documents"))
 
 
+@query
+def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = is_part("doc_id", 5, 1)
+    scored = hpylm.score(docs.select("doc_id", "text"), ~held)
+    return scored.select(
+        "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query
+def op9_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    found = winnow.compare_edited(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.spelled(F.col("marks")).alias("fingerprint"), winnow.spelled(F.col("edited_marks")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 @query
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
