@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelab.llm import bpe, hpylm, jaccard, langid, packing, quality, secrets, winnow
+from titlelab.llm import bpe, hpylm, jaccard, langid, packing, quality, secrets, topk, winnow
 from titlelab.llm.common import is_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+@query
+def op5_top_inner_products(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return topk.nearest(vectors, vectors.where("id % 50 = 0"))
+
+
 @query
 def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -86,3 +92,17 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model, keep=["doc_id"]).select(
         "doc_id", held.alias("held_out"), "score", "predicted"
     )
+
+
+ORACLES["op5_top_inner_products"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
