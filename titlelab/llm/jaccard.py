@@ -29,7 +29,7 @@ WORDS, LEAST = 5, 0.8
 TREES, DEPTH = 24, 8
 RECALL = 0.9999
 #: Classes that one verification task holds of a component.
-BLOCK = 2048
+BLOCK = 1024
 SEED = 20_231
 
 

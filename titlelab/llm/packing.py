@@ -28,7 +28,8 @@ from titlelab.session import durable
 
 SIZE = 4096
 END = 1
-BIN = 16
+#: Length bins that a sequence is divided into for the patterns.
+BINS = 64
 #: Distinct words whose ids a task remembers at a time.
 REMEMBERED = 700_000
 
@@ -190,8 +191,9 @@ def patterns(bins: int) -> np.ndarray:
     return np.array(found)
 
 
-def plan(counts: np.ndarray, size: int, width: int = BIN) -> np.ndarray:
+def plan(counts: np.ndarray, size: int, width: int | None = None) -> np.ndarray:
     """Rows (length, first number, pieces, first sequence, offset) that place ``counts[length]`` pieces."""
+    width = width or max(1, size // BINS)
     left, used = counts.astype(np.int64).copy(), np.zeros(len(counts), np.int64)
     rows, gaps, sequences = [], {}, 0  # gaps: free space -> [(first sequence, sequences)]
 
@@ -205,6 +207,7 @@ def plan(counts: np.ndarray, size: int, width: int = BIN) -> np.ndarray:
         by_bin = np.zeros(bins + 1, np.int64)
         bin_of = -(-np.arange(size + 1) // width)
         np.add.at(by_bin, bin_of, left)
+        by_bin[0] = 0
         kinds = patterns(bins)
         kinds = kinds[((by_bin[kinds] > 0) | (kinds == 0)).all(1)]
         a = np.zeros((bins + 1, len(kinds)))
@@ -224,7 +227,8 @@ def plan(counts: np.ndarray, size: int, width: int = BIN) -> np.ndarray:
                 by_bin[b] -= m * times
                 longest = _runs(left, b * width, max(1, (b - 1) * width + 1), m * times)
                 runs += [_cut(longest, j * times, times, j % 2) for j in range(m)]
-            for n, lengths in _segments(runs):
+            # the last and shortest piece is left to best fit, which finds the one that fills the gap
+            for n, lengths in _segments(runs[:-1] or runs):
                 offset = 0
                 for length in lengths:
                     place(length, n, sequences, offset)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelab.llm import bpe, hpylm, jaccard, langid, packing, quality, secrets, topk, winnow
+from titlelab.llm import bpe, hpylm, html, jaccard, langid, packing, quality, secrets, topk, winnow
 from titlelab.llm.common import is_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

@@ -137,6 +137,7 @@ def with_next(docs: DataFrame, key: str, order: list[Column], columns: list[str]
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     keyed = docs.withColumn("range_key", F.col(key).cast("double"))
     dealt = Bucketizer(splits=splits, inputCol="range_key", outputCol="range", handleInvalid="keep").transform(keyed)
+    dealt = dealt.withColumn("range", F.coalesce("range", F.lit(float(len(splits)))))  # null ids come last
     within = W.partitionBy("range").orderBy(*order)
     ahead = dealt.drop("range_key").withColumns(
         {"place": F.row_number().over(within), "more": F.lead(F.lit(1)).over(within)}
