@@ -134,7 +134,7 @@ def with_next(docs: DataFrame, key: str, order: list[Column], columns: list[str]
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted({*cuts} or {0.0}), float("inf")]
     keyed = docs.withColumn("range_key", F.col(key).cast("double"))
     dealt = Bucketizer(splits=splits, inputCol="range_key", outputCol="range", handleInvalid="keep").transform(keyed)
     dealt = dealt.withColumn("range", F.coalesce("range", F.lit(float(len(splits)))))  # null ids come last
