@@ -26,7 +26,7 @@ def titles_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "titles-csv")
     write_titles(df, path)
     schema = "id bigint, main_id string, main_name string, sub_id string, sub_name string, title string"
-    return read_titles(spark, path, schema)
+    return read_titles(spark, path, schema, multi_line=True)
 
 
 @query(

@@ -96,40 +96,58 @@ def first_candidate(spark, sf):
     return ops.first_candidate(offered, ["main_id"])
 
 
+# Some cells end in a separator, hold a blank only, or are padded.
+_ODD = f"""SELECT id, main_id, main_name, sub_id, sub_name, CASE WHEN id % 13 = 0 THEN title || ' . ' WHEN id % 17 = 0 THEN '   '
+    WHEN id % 19 = 0 THEN '  ' || title || ' .  . x' ELSE title END AS cell FROM ({TITLES_SQL})"""
+_ODD_NEW = _NEW.replace(
+    f"t AS ({TITLES_SQL})",
+    f"""o AS (SELECT main_id, main_name, sub_id, sub_name, unnest(string_split(cell, ' . ')) AS part FROM ({_ODD})),
+    t AS (SELECT main_id, main_name, sub_id, sub_name, trim(part) AS title FROM o WHERE trim(part) <> '')""",
+)
+
+
 @query(
     "topped_up",
-    f"""WITH {_NEW} SELECT main_id, main_name, sub_id, sub_name, title FROM t
+    f"""WITH {_ODD_NEW} SELECT main_id, main_name, sub_id, sub_name, title FROM t
     UNION ALL SELECT * FROM fresh""",
 )
 def topped_up(spark, sf):
-    return jobs.top_up_sub(titles(spark, sf))
+    """Cells with several, blank and padded titles among ordinary ones."""
+    cell = (
+        F.when(col("id") % 13 == 0, F.concat("title", lit(" . ")))
+        .when(col("id") % 17 == 0, "   ")
+        .when(col("id") % 19 == 0, F.concat(lit("  "), "title", lit(" .  . x")))
+        .otherwise(col("title"))
+    )
+    return jobs.top_up_sub(titles(spark, sf).withColumn("title", cell))
 
 
 _BRANDS = """SELECT p_partkey AS id, p_brand AS main_id, 'Main ' || p_brand AS main_name,
-    repeat('-', CAST(p_partkey % 2 AS BIGINT)) || p_name AS title FROM part"""
+    CASE WHEN p_partkey % 23 = 0 THEN '--' WHEN p_partkey % 29 = 0 THEN '- ' ELSE repeat('-', CAST(p_partkey % 2 AS BIGINT)) || p_name END AS bulleted
+    FROM part"""
 
 
 @query(
     "topped_up_main",
-    f"""WITH t AS ({_BRANDS}),
+    f"""WITH t AS (SELECT id, main_id, main_name, trim(regexp_replace(bulleted, '^-+', '')) AS title FROM ({_BRANDS})
+      WHERE trim(regexp_replace(bulleted, '^-+', '')) <> ''),
     c AS (SELECT main_id, main_name, 100 - count(DISTINCT title) AS need FROM t GROUP BY ALL HAVING count(DISTINCT title) < 100),
     f AS (SELECT title, count(*) AS used FROM t GROUP BY ALL),
     r AS (SELECT c.*, title, row_number() OVER (PARTITION BY main_id ORDER BY used DESC, title) AS rank
       FROM c, f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.main_id = c.main_id AND t.title = f.title)),
     u AS (SELECT main_id, main_name, title FROM t UNION ALL
-      SELECT main_id, main_name, title FROM r WHERE rank <= need),
-    s AS (SELECT main_id, main_name, trim(regexp_replace(title, '^-+', '')) AS title FROM u)
-    SELECT *, row_number() OVER (ORDER BY main_name, title, main_id) AS row_no FROM s""",
+      SELECT main_id, main_name, title FROM r WHERE rank <= need)
+    SELECT *, row_number() OVER (ORDER BY main_name, title, main_id) AS row_no FROM u""",
 )
 def topped_up_main(spark, sf):
-    """Brands as main occupations; half of the titles carry a bullet."""
+    """Brands as main occupations; half of the titles carry a bullet, some are nothing else."""
     df = titles(spark, sf)
     bullets = F.expr("repeat('-', cast(id % 2 as int))")
     brands = df.select(
         "id",
         col("sub_name").alias("main_id"),
         F.concat(lit("Main "), "sub_name").alias("main_name"),
-        F.concat(bullets, "title").alias("title"),
+        F.when(col("id") % 23 == 0, "--").when(col("id") % 29 == 0, "- ").otherwise(F.concat(bullets, "title")).alias("title"),
     )
     return jobs.top_up_main(brands)
 

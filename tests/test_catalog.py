@@ -141,7 +141,7 @@ def test_titles_file_round_trip(spark, tmp_path):
     rows = [(1, "a", 2, 'say "hi", x', "two\nlines"), (3, "ไทย", 4, None, " pad ")]
     df = spark.createDataFrame(rows, "main_id bigint, main_name string, sub_id bigint, sub_name string, title string")
     write_titles(df, str(tmp_path / "t"))
-    assert values(read_titles(spark, str(tmp_path / "t"))) == sorted(rows, key=repr)
+    assert values(read_titles(spark, str(tmp_path / "t"), multi_line=True)) == sorted(rows, key=repr)
     write_mapping(df, str(tmp_path / "m"))
     assert values(read_mapping(spark, str(tmp_path / "m"))) == [(1, "a"), (3, "ไทย")]
 
@@ -156,4 +156,7 @@ def test_jdbc_reads_are_split_when_asked():
     source = JdbcSource({"url": "jdbc:x", "user": "u"}, {"jobpost": ("id", 1, 1000, 16)})
     options = source.read_options("jobpost")
     assert options["numPartitions"] == "16" and options["dbtable"] == "jobpost"
+    with pytest.raises(ValueError, match="occupation has no split"):
+        source.read_options("occupation")
+    source.single = ("occupation",)
     assert "partitionColumn" not in source.read_options("occupation")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import values
 from titlelab.functions.hashing import hash_bucket
 from titlelab.operators import ranking, splits
+from titlelab.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,27 @@ def test_kfold_sizes_differ_by_at_most_one(skewed):
     spread = folds.groupBy("g").agg((F.max("count") - F.min("count")).alias("d"))
     assert all(r.d <= 1 for r in spread.collect())
     assert splits.kfold(skewed, "g", "id").select("id").distinct().count() == 2000
+
+
+@pytest.mark.parametrize("test", [0.005, 0.125, 0.2, 0.5])
+def test_split_follows_any_share(spark, test):
+    ids = spark.range(20_000)
+    share = splits.split(ids, "id", test).where("part = 'test'").count() / 20_000
+    assert share == pytest.approx(test, rel=0.15)
+
+
+def test_hot_sort_key_is_spread(spark, monkeypatch):
+    """Half of the rows have one key; no partition of the numbered table holds much of them."""
+    written = []
+    monkeypatch.setattr(ranking, "durable", lambda df: written.append(durable(df)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        title = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string"))
+        placed = ranking.numbered(spark.range(40_000).select("id", title.alias("title")).repartition(8), ["title"])
+        assert placed.agg(F.count_distinct("row_no"), F.max("row_no")).first()[:] == (40_000, 40_000)
+        pieces = written[0].groupBy(F.input_file_name().alias("file")).count()
+        assert pieces.agg(F.max("count")).first()[0] <= 2 * 40_000 / pieces.count()
+        titles = [r["title"] for r in placed.orderBy("row_no").collect()]
+        assert titles == sorted(titles)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

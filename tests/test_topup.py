@@ -115,3 +115,26 @@ def test_fill_handles_a_category_with_most_rows(spark):
     got = topup.fill_missing_titles(df, offered)
     right = F.when(F.col("id") < 20_000, F.concat(F.lit("c"), "id")).otherwise(topup.TITLE_MISSING)
     assert got.where(F.col("title") != right).count() == 0 and got.count() == 30_000
+
+
+def test_blank_parts_of_cells_are_no_titles(spark):
+    rows = [(1, "M", 1, "a", "x . "), (1, "M", 1, "a", "   "), (1, "M", 1, "a", " yy . z "), (1, "M", 2, "b", "q")]
+    done = jobs.top_up_sub(spark.createDataFrame(rows, SUB), target=4)
+    assert values(done.select("sub_id", "title")) == [(1, "q"), (1, "x"), (1, "yy"), (1, "z"), (2, "q"), (2, "x"), (2, "yy"), (2, "z")]
+    again = jobs.top_up_sub(done, target=4)
+    assert values(again) == values(done)
+
+
+def test_main_titles_are_compared_without_bullets(spark):
+    rows = [(1, "M", "x"), (1, "M", "-x"), (1, "M", "--"), (1, "M", "- "), (2, "N", "q"), (2, "N", "- w")]
+    done = jobs.top_up_main(spark.createDataFrame(rows, "main_id int, main_name string, title string"), target=3)
+    assert values(done.select("main_id", "title")) == [(1, "q"), (1, "w"), (1, "x"), (1, "x"), (2, "q"), (2, "w"), (2, "x")]
+    again = jobs.top_up_main(done.drop("row_no"), target=3)
+    assert values(again) == values(done)
+
+
+def test_given_candidates_may_hold_blanks_and_bullets(spark):
+    rows = spark.createDataFrame([(1, "M", "x")], "main_id int, main_name string, title string")
+    offered = spark.createDataFrame([(1, 1, "--"), (1, 2, "-x"), (1, 3, " - y")], "main_id int, pos int, title string")
+    done = jobs.top_up_main(rows, target=2, candidates=offered)
+    assert values(done.select("title")) == [("- y",), ("x",)]

@@ -5,8 +5,9 @@ three operators here never do that:
 
 * ``cap_per_group`` first ranks inside (key, slot) pieces of a group, so the last window
   sees at most ``spread * k`` rows of any group;
-* ``numbered`` / ``numbered_within`` sort by range over the whole table, so a hot group is
-  spread over as many tasks as its size asks for, and add per-partition offsets;
+* ``numbered`` / ``numbered_within`` sort by range over the whole table, with a salt behind
+  the sort keys, so a hot group, or a hot sort key, is spread over as many tasks as its size
+  asks for, and add per-partition offsets;
 * ``hash_ranked`` ranks in md5 order, which cuts every group into even buckets.
 
 Order items are column names; a leading ``-`` means descending.
@@ -72,11 +73,15 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataF
 
     Rows are range-partitioned and sorted, the placement is fixed by writing it down, and
     each partition's numbers are shifted by the row count before it. The only
-    single-task step handles one row per partition.
+    single-task step handles one row per partition. A seeded random number is the last
+    range column: rows with equal sort keys, whose order is free, are spread over as many
+    partitions as their number asks for.
     """
     by = sort_columns(order)
     placed = durable(
-        df.repartitionByRange(*by)
+        df.withColumn("_salt", F.rand(11))
+        .repartitionByRange(*by, "_salt")
+        .drop("_salt")
         .sortWithinPartitions(*by)
         .withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_at", 33))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlelab.functions.text import strip_bullet
+from titlelab.functions.text import strip_bullet, trim_blank
 from titlelab.operators.cleaning import append_titles, clean_titles, explode_titles, require_title
 from titlelab.operators.topup import (
     MAIN_TARGET,
@@ -29,8 +29,15 @@ MAIN_COLUMNS = ("main_id", "main_name", "title")
 
 
 def prepared_sub_titles(df: DataFrame) -> DataFrame:
-    """Clean rows, one per title."""
-    return explode_titles(clean_titles(df.select(*SUB_COLUMNS)))
+    """Clean rows, one per title; a cell's blank parts are no titles."""
+    every = explode_titles(clean_titles(df.select(*SUB_COLUMNS)))
+    return require_title(every.withColumn("title", trim_blank("title")))
+
+
+def prepared_main_titles(df: DataFrame) -> DataFrame:
+    """Clean rows without bullets. What is nothing but a bullet is no title."""
+    cleaned = clean_titles(df.select(*MAIN_COLUMNS), keep_blank=MAIN_COLUMNS)
+    return require_title(cleaned.withColumn("title", strip_bullet("title")))
 
 
 def new_sub_titles(
@@ -56,6 +63,8 @@ def top_up_sub(
 ) -> DataFrame:
     """All titles, existing and new. A second run adds nothing."""
     titles = prepared_sub_titles(df)
+    if candidates is not None:
+        candidates = require_title(candidates.withColumn("title", trim_blank("title")))
     return append_titles(titles, new_sub_titles(titles, target, candidates))
 
 
@@ -81,8 +90,12 @@ def new_main_titles(
 def top_up_main(
     df: DataFrame, target: int = MAIN_TARGET, candidates: DataFrame | None = None
 ) -> DataFrame:
-    """All titles, existing and new, bullets stripped, numbered by main name and title."""
-    titles = require_title(clean_titles(df.select(*MAIN_COLUMNS), keep_blank=MAIN_COLUMNS))
+    """All titles, existing and new, bullets stripped, numbered by main name and title.
+
+    Bullets go before anything is counted or compared, so a second run adds nothing.
+    """
+    titles = prepared_main_titles(df)
+    if candidates is not None:
+        candidates = require_title(candidates.withColumn("title", strip_bullet("title")))
     every = append_titles(titles, new_main_titles(titles, target, candidates))
-    tidy = every.withColumn("title", strip_bullet("title"))
-    return ordered_titles(tidy, ["main_name", "title", "main_id"])
+    return ordered_titles(every, ["main_name", "title", "main_id"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,17 +37,19 @@ def build_session(
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables and stream progress.
 
-    It is the one the session names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder; on a cluster a machine-local folder
-    would be lost with its machine, so a missing setting is an error there.
+    It is the one the session names in ``spark.checkpoint.dir``. A session whose driver is
+    its only executor (``local`` or ``local[...]``) may leave it out: a temporary folder is
+    then set, and said so in a warning. Anywhere else a machine-local folder would be lost
+    with its machine, so a missing setting is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get(_CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="titlelab-"))
         named = context.getCheckpointDir()
+        warnings.warn(f"{_CHECKPOINT_KEY} is not set; this local session uses {named}", stacklevel=2)
     return named
 
 

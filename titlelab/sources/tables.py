@@ -23,14 +23,18 @@ NULL_TOKENS = (
 class JdbcSource:
     """Connection options from the caller, and how to split each table's read.
 
-    ``splits`` maps a table to ``(column, lower, upper, partitions)``; a table without an
-    entry is read through one connection.
+    ``splits`` maps a table to ``(column, lower, upper, partitions)``. A table without an
+    entry would be read through one connection by one task; that is refused unless the
+    table is named in ``single``.
     """
 
     options: dict[str, str]
     splits: dict[str, tuple[str, int, int, int]] = field(default_factory=dict)
+    single: tuple[str, ...] = ()
 
     def read_options(self, table: str) -> dict[str, str]:
+        if table not in self.splits and table not in self.single:
+            raise ValueError(f"{table} has no split; name it in single to read it through one connection")
         chosen = {**self.options, "dbtable": table}
         if table in self.splits:
             column, lower, upper, partitions = self.splits[table]
@@ -51,12 +55,12 @@ def read_table(spark: SparkSession, name: str, source: str | JdbcSource) -> Data
 
 
 def read_titles(
-    spark: SparkSession, path: str, schema: str = SUB_TITLES_SCHEMA, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str = SUB_TITLES_SCHEMA, multi_line: bool = False
 ) -> DataFrame:
     """Titles CSV with a header. Types are given, never inferred.
 
-    With ``multi_line`` a quoted title may contain line breaks and each file is one task;
-    switch it off to split large files when no title does.
+    Large files are split. With ``multi_line`` a quoted title may contain line breaks, and
+    each file is one task.
     """
     reader = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8")
     return reader.option("multiLine", multi_line).option("escape", '"').csv(path)

@@ -53,15 +53,15 @@ def usage_log(events: DataFrame) -> DataFrame:
     return log_time_parts(timed).select(*LOG_COLUMNS)
 
 
-def write_usage_log(log: DataFrame, path: str) -> None:
-    """Append a batch of records.
+def write_usage_log(log: DataFrame, path: str, mode: str = "append") -> None:
+    """Write a batch of records.
 
     Range partitioning on the folder columns and time keeps a folder's rows together but
     lets a busy day use as many tasks (and files) as it needs.
     """
     order = ["success", "date", "endpoint_type", "timestamp"]
     laid_out = log.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid_out.write.partitionBy("success", "date").mode("append").parquet(path)
+    laid_out.write.partitionBy("success", "date").mode(mode).parquet(path)
 
 
 def usage_log_stream(
@@ -69,14 +69,17 @@ def usage_log_stream(
 ) -> StreamingQuery:
     """Append a stream of events to the log.
 
-    The file sink records finished batches, so a restarted query neither loses nor
-    repeats records.
+    Each batch is laid out like a batch table and written to a folder of its own,
+    ``batch=<number>``. A batch that is run again after a failure replaces its folder, so a
+    restarted query neither loses nor repeats records.
     """
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_usage_log(batch, f"{path.rstrip('/')}/batch={number}", "overwrite")
+
     writer = (
         usage_log(events)
-        .writeStream.format("parquet")
-        .partitionBy("success", "date")
-        .option("path", path)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
@@ -86,11 +89,11 @@ def usage_log_stream(
 
 
 def read_usage_log(log_reader, path: str) -> DataFrame:
-    """The stored log; ``log_reader`` is ``spark.read``.
+    """The stored log, of batches or a stream; ``log_reader`` is ``spark.read``.
 
     Folder values come back as their original types.
     """
-    stored = log_reader.parquet(path)
+    stored = log_reader.parquet(path).drop("batch")
     return stored.withColumn("success", F.col("success").cast("boolean")).withColumn(
         "date", F.date_format(F.col("date").cast("date"), "yyyy-MM-dd")
     )
