@@ -125,8 +125,13 @@ def encode_sequence(spark, sf):
     return coded.select("item_id", ids.alias("input_ids"), mask.alias("n_words"))
 
 
-@query("word2vec")
+@query(
+    "word2vec",
+    f"""SELECT DISTINCT word, 100 AS entries, true AS finite FROM
+    (SELECT unnest({tokens_sql(strip_sql('text'))}) AS word FROM documents)""",
+)
 def word2vec(spark, sf):
-    """Word vectors of the documents, eight entries each (rows only: training is numeric)."""
-    model = wv.word2vec(read_table(spark, "documents", sf), dim=8, partitions=4)
-    return wv.word_table(model)
+    """A vector for every word of the documents; its entries are numeric work SQL can't repeat."""
+    words = wv.word_table(wv.word2vec(read_table(spark, "documents", sf)))
+    finite = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return words.select("word", F.size("vec").alias("entries"), finite.alias("finite"))

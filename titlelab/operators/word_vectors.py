@@ -22,9 +22,15 @@ UNKNOWN_ID = 1
 
 def word2vec(
     df: DataFrame, text: str = "text", dim: int = VECTOR_SIZE, window: int = WINDOW,
-    iterations: int = 1, partitions: int = 1, seed: int = 42,
+    iterations: int = 1, partitions: int | None = None, seed: int = 42,
 ) -> Word2VecModel:
-    """Train word vectors on cleaned tokens; every word is kept."""
+    """Train word vectors on cleaned tokens; every word is kept.
+
+    Training runs in as many parts as the session has parallel tasks, unless ``partitions``
+    says otherwise. The words and their vectors live on the driver while it trains, a limit
+    of this Spark estimator.
+    """
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
     words = df.select(tokens(clean_text(text)).alias("words")).where(F.size("words") > 0)
     trainer = Word2Vec(
         inputCol="words", outputCol="vec", vectorSize=dim, windowSize=window, minCount=1,
