@@ -52,17 +52,17 @@ def subs_of_main(spark, sf):
 
 @query(
     "recent_posts",
-    f"""SELECT id, main_id, title FROM ({POSTS_SQL}) WHERE created_at >= TIMESTAMP '2001-08-01' - INTERVAL 12 MONTH
+    f"""SELECT id, main_id, title FROM ({POSTS_SQL}) WHERE created_at >= TIMESTAMP '2001-08-01' - INTERVAL 3 MONTH
     AND main_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 1))
     ORDER BY id, title LIMIT 500""",
 )
 def recent_posts(spark, sf):
-    """Posts of two main occupations in the year before the last day of the table."""
+    """Posts of two main occupations in the three months before the last day of the table."""
     ids = read_table(spark, "nation", sf).where(col("n_regionkey").isin(0, 1))
     ids = ids.select(col("n_nationkey").alias("main_id"))
     as_of = lit("2001-08-01").cast("timestamp_ntz")
     posts, text = inputs.posts(spark, sf), inputs.post_descriptions(spark, sf)
-    return ops.recent_posts(posts, text, ids, as_of, months=12)
+    return ops.recent_posts(posts, text, ids, as_of)
 
 
 @query(

@@ -53,6 +53,13 @@ def _marked(spark, sf):
     return titles(spark, sf).select("id", "main_id", title.alias("title"))
 
 
+@query("trim_columns", f"SELECT id, main_id, title FROM ({TITLES_SQL})")
+def trim_columns(spark, sf):
+    """Column names that came with blanks around them."""
+    padded = titles(spark, sf).select(col("id").alias(" id"), col("main_id").alias("main_id  "), col("title").alias(" title "))
+    return ops.trim_columns(padded)
+
+
 @query(
     "clean_titles",
     f"SELECT id, main_id, title FROM ({TITLES_SQL}) WHERE id % 11 <> 0 AND id % 19 <> 0",

@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from registry import query
 from registry.catalog import CONTAINS, EXACT, rules_sql
-from registry.inputs import TITLES_SQL, business_sql, col, lit, strip_sql, titles, tokens_sql
+from registry.inputs import TITLES_SQL, business_sql, col, lit, md5_sql, strip_sql, titles, tokens_sql
 from titlelab.operators import centroids
+from titlelab.operators.evaluate import cv_summary, fold_scores
+from titlelab.operators.labels import fit_labels
 from titlelab.operators.rules import Rule
+from titlelab.operators.splits import kfold
 from titlelab.operators.text_vectors import clean_text
 from titlelab.plans import predict
+from titlelab.plans.categories import top_categories
+from titlelab.session import scratch_path
+from titlelab.sources import artifacts
 
 # Title weights (w, and q per distinct text), main and sub centroids (mc, sc).
 _MODEL = f"""t AS ({TITLES_SQL}),
@@ -65,6 +71,61 @@ def predict_hierarchy(spark, sf):
     )
 
 
+@query(
+    "saved_model_predict",
+    f"""WITH {_MODEL} SELECT id, mp.main_id AS predicted_main, sp.sub_id AS predicted_sub
+    FROM r JOIN mp USING (text) JOIN sp ON sp.text = mp.text AND sp.main_id = mp.main_id""",
+)
+def saved_model_predict(spark, sf):
+    """A model that was saved, read again and then applied."""
+    rows = titles(spark, sf)
+    folder = scratch_path(spark, "title-model")
+    artifacts.save_title_model(folder, centroids.fit_title_model(rows))
+    found = centroids.predict_hierarchy(rows.select("id", "title"), artifacts.load_title_model(spark, folder))
+    return found.select("id", col("main_id").alias("predicted_main"), col("sub_id").alias("predicted_sub"))
+
+
+@query(
+    "top_categories",
+    f"""WITH {_MODEL}, a AS (SELECT text, main_id, round(sum(q.w * mc.w), 8) AS score FROM q JOIN mc USING (term) GROUP BY ALL),
+    b AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, main_id) AS rank FROM a),
+    l AS (SELECT main_id, min(main_name) AS main_name, CAST(dense_rank() OVER (ORDER BY main_id) - 1 AS INTEGER) AS label FROM t GROUP BY main_id)
+    SELECT id, CAST(rank AS INTEGER) AS rank, label, main_id, l.main_name, score FROM (SELECT id, text FROM r) JOIN b USING (text) JOIN l USING (main_id)
+    WHERE rank <= 3""",
+)
+def top_categories_query(spark, sf):
+    """The three best mains of every title, with number, id, name and score."""
+    rows = titles(spark, sf)
+    names = rows.groupBy("main_id").agg(F.min("main_name").alias("main_name"))
+    return top_categories(rows, centroids.fit_title_model(rows), fit_labels(rows, "main_id"), names)
+
+
+_CV = f"""t AS ({TITLES_SQL}),
+    r AS (SELECT id, main_id, sub_id, {strip_sql('title')} AS text, CAST((row_number() OVER (PARTITION BY main_id
+      ORDER BY {md5_sql('id')}, id) - 1) % 5 AS INTEGER) AS fold FROM t),
+    m AS (SELECT model, id, main_id, sub_id, text FROM r, (SELECT unnest(range(5)) AS model) WHERE model <> fold),
+    tok AS (SELECT text, unnest({tokens_sql('text')}) AS term FROM (SELECT DISTINCT text FROM r)),
+    tf AS (SELECT text, term, count(*) AS tf FROM tok GROUP BY ALL),
+    idf AS (SELECT model, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM m JOIN tf USING (text)
+      JOIN (SELECT model, count(*) AS n FROM m GROUP BY model) USING (model) GROUP BY model, term),
+    x AS (SELECT model, text, term, tf * idf AS x FROM tf JOIN idf USING (term)),
+    w AS (SELECT model, text, term, x / sqrt(sum(x * x) OVER (PARTITION BY model, text)) AS w FROM x),
+    s AS (SELECT model, main_id, sub_id, term, sum(w) AS s FROM m JOIN w USING (model, text) GROUP BY ALL),
+    c AS (SELECT model, main_id, sub_id, term, s / sqrt(sum(s * s) OVER (PARTITION BY model, main_id, sub_id)) AS w FROM s),
+    d AS (SELECT r.id, c.sub_id, round(sum(w.w * c.w), 8) AS score FROM r JOIN w ON w.model = r.fold AND w.text = r.text
+      JOIN c ON c.model = r.fold AND c.main_id = r.main_id AND c.term = w.term GROUP BY ALL),
+    b AS (SELECT id, sub_id AS prediction FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, sub_id) = 1),
+    f AS (SELECT main_id, fold, avg(CASE WHEN sub_id = prediction THEN 1.0 ELSE 0.0 END) AS score FROM r LEFT JOIN b USING (id) GROUP BY ALL)"""
+
+
+@query("sub_model_cv", f"WITH {_CV} SELECT main_id, round(avg(score), 6) AS mean_score, count(*) AS n_folds FROM f GROUP BY main_id")
+def sub_model_cv(spark, sf):
+    """Cross-validated accuracy of each main's own sub model."""
+    folds = kfold(titles(spark, sf), "main_id", "id")
+    scores = fold_scores(centroids.fold_predictions(folds, "id"), "fold", ("main_id",))
+    return cv_summary(scores, ("main_id",)).withColumn("mean_score", F.round("mean_score", 6))
+
+
 _RULES = predict.RuleSet(EXACT, CONTAINS, (Rule("gizmo", "Brand#9"),))
 
 

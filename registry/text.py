@@ -11,8 +11,9 @@ from titlelab.operators import text_vectors as tv
 from titlelab.operators import word_vectors as wv
 from titlelab.operators.labels import vocabulary
 from titlelab.operators.ranking import numbered
-from titlelab.operators.similarity import cosine_scores
+from titlelab.operators.similarity import scores_above
 from titlelab.plans.similar import similar
+from titlelab.session import durable
 from titlelab.sources.tables import read_table
 
 # Terms, idf and unit weights of the documents table (d, tf, idf) and of benchmark (q).
@@ -70,16 +71,16 @@ _TITLE_W = f"""t AS (SELECT title, count(*) AS m FROM (SELECT {strip_sql('title'
 
 @query(
     "cosine_scores",
-    f"""WITH {_TITLE_W} SELECT a.title AS query_id, b.title AS doc_id, round(sum(a.w * b.w), 6) AS score
-    FROM tw a JOIN tw b USING (term) GROUP BY ALL""",
+    f"""WITH {_TITLE_W} SELECT a.title AS query_id, b.title AS doc_id, round(round(sum(a.w * b.w), 8), 6) AS score
+    FROM tw a JOIN tw b USING (term) GROUP BY ALL HAVING round(sum(a.w * b.w), 8) > 0.2""",
 )
 def cosine_scores_query(spark, sf):
-    """Scores between the distinct titles of the parts table."""
+    """Scores above the report's bound between the distinct titles of the parts table."""
     cleaned = titles(spark, sf).select(tv.clean_text("title").alias("text"))
     docs = cleaned.groupBy("text").agg(F.count("*").alias("copies"))
     terms = tv.term_counts(docs.withColumn("doc_id", col("text")))
-    w = tv.tfidf(terms, tv.fit_idf(terms, tv.row_total(cleaned)))
-    scores = cosine_scores(w.withColumnRenamed("doc_id", "query_id"), w)
+    w = durable(tv.tfidf_runs(terms, tv.fit_idf(terms, tv.row_total(cleaned))))
+    scores = scores_above(w.withColumnRenamed("doc_id", "query_id"), w)
     return scores.withColumn("score", F.round("score", 6))
 
 
