@@ -34,9 +34,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
-    classes = jaccard.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi")
+    """Of each class of near duplicates the document with the smallest id stays, and of rows that
+    repeat an id one. Rows without an id can't be compared by it and stay."""
+    kept = jaccard.join(docs).where("doc_id = class_id").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
