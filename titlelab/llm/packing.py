@@ -86,6 +86,10 @@ def _latin(text: str) -> bool:
     return True
 
 
+#: Latin-1 characters as a stop or comma, white space, letter or digit, or another mark.
+_KINDS = bytes(ord("," if c in ".," else " " if c.isspace() else "a" if c.isalnum() else "!") for c in map(chr, range(256)))
+
+
 class Encoder:
     """Texts to little-endian ids.
 
@@ -105,7 +109,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = regex.compile(self.PATTERN).findall
-        self.run = regex.compile(r"[.,](?:_|[^\s\w])|(?:_|[^\s\w])[.,]").search
         self.whole: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -130,13 +133,18 @@ class Encoder:
         for word, pieces in zip(plain, cut):
             self.whole[word] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
-    def _spread(self, text: str) -> str:
+    @staticmethod
+    def _spread(text: str) -> str:
         """The same pre-tokens in a form that has fewer distinct words: lower case, and stops and
         commas apart from their words, unless they stand in a run of marks."""
-        if not _latin(text):
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        text, kinds = text.lower(), raw.translate(_KINDS)
+        if b",," in kinds or b",!" in kinds or b"!," in kinds:
             return text
-        text = text.lower()
-        return text if self.run(text) else text.replace(",", " , ").replace(".", " . ")
+        return text.replace(",", " , ").replace(".", " . ")
 
     def _each(self, words: list[str]):
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
