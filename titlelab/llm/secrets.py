@@ -16,8 +16,9 @@ repeated results. An input column with an output's name is replaced.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,8 @@ PARTS = "array<struct<kind:string,start:int,end:int,scope:int>>"
 
 
 def _scanner():
-    # the first letter decides early, which keeps the scan of ordinary prose cheap
     assign, access = re.compile(ASSIGN, re.A), re.compile(ACCESS)
-    runs = re.compile(r"[0-9a-f]{24,}")
+    runs = re.compile(f"{HEX[:-1]}{{{LEAST['hex']},}}")  # a run short of it fails as a whole
     host, ident, loose = re.compile(HOST, re.A), re.compile(IDENT, re.A), re.compile(LOOSE, re.A)
 
     def scan(text: str):
@@ -57,7 +57,8 @@ def _scanner():
         weak += [("key", m.start(), m.end()) for m in loose.finditer(text) if _varied(m[0])]
         base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         if weak and base:
-            weak = [w for w in weak if w[0] == "host" or not _overlaps(w, base)]
+            starts, reached = [b[1] for b in base], list(accumulate((b[2] for b in base), max))
+            weak = [w for w in weak if w[0] == "host" or not _overlaps(w, starts, reached)]
         return base, weak
 
     return scan
@@ -68,11 +69,10 @@ def _varied(word: str) -> bool:
     return any(c.isdigit() for c in word) and any(c.isupper() for c in word) and any(c.islower() for c in word)
 
 
-def _overlaps(span, base) -> bool:
-    from bisect import bisect_left
-
-    at = bisect_left(base, span[2], key=lambda b: b[1])
-    return any(b[2] > span[1] for b in base[max(0, at - 8) : at])
+def _overlaps(span, starts: list[int], reached: list[int]) -> bool:
+    """Whether a base span that starts before the span's end reaches beyond its start."""
+    before = bisect_left(starts, span[2])
+    return before > 0 and reached[before - 1] > span[1]
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -92,8 +92,6 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
                 found = []
                 if weak:
                     breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
-                    from bisect import bisect_right
-
                     found = [{"kind": k, "start": a, "end": b, "scope": bisect_right(breaks, a)} for k, a, b in base + weak]
                 parts.append(found)
             return [bases, parts]
