@@ -223,35 +223,46 @@ def test_redaction_keeps_the_columns(spark):
     assert sorted(r["text"] or "" for r in got.collect()) == ["", "a [SECRET] b", "clean"]
 
 
-def winnowed(text, gram, window):
-    """Marks by brute force over the hashes that Spark gives."""
-    def run(hashes):
-        if not hashes:
-            return []
-        windows = [hashes[i : i + window] for i in range(max(1, len(hashes) - window + 1))]
-        kept = set()
-        for start, w in enumerate(windows):
-            least = min(w)
-            kept.add((start + max(i for i, h in enumerate(w) if h == least), least))
-        return sorted(kept)
-    return run
-
-
-@pytest.mark.parametrize("gram, window", [(4, 8), (16, 32)])
+def winnowed(hashes, window):
+    """Kept (position, hash) pairs by brute force."""
+    windows = [hashes[i : i + window] for i in range(max(1, len(hashes) - window + 1))] if hashes else []
+    kept = set()
+    for start, w in enumerate(windows):
+        kept.add((start + max(i for i, h in enumerate(w) if h == min(w)), min(w)))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("gram, window", [(5, 4), (2, 8)])
 def test_marks_equal_brute_force(spark, gram, window):
     pick = random.Random(6)
-    texts = [None, "", "a", "ab" * 200, "日本\U0001d4b3é" * 30, *["".join(pick.choice("abé ") for _ in range(pick.randint(0, 300))) for _ in range(60)]]
+    words = ["a", "b", "é", "日本", "x" * 40, "\U0001d4b3"]
+    texts = [None, "", " \n ", "a", "a b a", "ab " * 200, "z" * 300, *[" ".join(pick.choice(words) for _ in range(pick.randint(0, 60))) for _ in range(60)]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
-    text = F.coalesce("text", F.lit(""))
-    plain = F.when(text == "", F.array().cast("array<long>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.length(text) - gram, F.lit(0))),
-            lambda i: F.shiftrightunsigned(F.xxhash64(F.encode(F.substring(text, i + 1, F.lit(gram)), "UTF-32")), 64 - winnow.HASH_BITS),
-        )
+    rows = winnow.fingerprints(docs, gram=gram, window=window).select("i", winnow.places(F.col("marks")).alias("m")).collect()
+    runs = []
+    for i, t in enumerate(texts):
+        units = re.findall(r"\S{1,32}", t or "")
+        runs += [(i, n, units[n : n + gram]) for n in range(max(1, len(units) - gram + 1))] if units else []
+    table = spark.createDataFrame(runs, "i int, n int, units array<string>")
+    hashed = table.withColumn("h", F.transform("units", lambda u: F.xxhash64(u))).select(
+        "i", "n", F.shiftrightunsigned(F.xxhash64("h"), 64 - winnow.HASH_BITS).alias("hash")
     )
-    rows = winnow.fingerprints(docs, gram=gram, window=window).select("text", winnow.places(F.col("marks")).alias("m"), plain.alias("h")).collect()
+    by = {i: {} for i in range(len(texts))}
+    for r in hashed.collect():
+        by[r["i"]][r["n"]] = r["hash"]
     for r in rows:
-        assert [(m["position"], m["hash"]) for m in r["m"]] == winnowed(r["text"], gram, window)(r["h"])
+        h = [by[r["i"]][n] for n in range(len(by[r["i"]]))]
+        assert [(m["position"], m["hash"]) for m in r["m"]] == winnowed(h, window)
+
+
+def test_shared_run_leaves_a_shared_mark(spark):
+    pick = random.Random(2)
+    def noise():
+        return [str(pick.random()) for _ in range(30)]
+    shared = [f"s{i}" for i in range(winnow.GRAM + winnow.WINDOW - 1)]
+    docs = spark.createDataFrame([(i, " ".join([*noise(), *shared, *noise()])) for i in range(20)], "i int, text string")
+    found = [set(r["h"]) for r in winnow.fingerprints(docs).select(winnow.hashes(F.col("marks")).alias("h")).collect()]
+    assert all(a & found[0] for a in found)
 
 
 def test_edited_text_and_next_text(spark):
@@ -272,7 +283,7 @@ def test_edited_text_and_next_text(spark):
         assert got[3 * r["i"]]["edited_marks"] == r["marks"]
     assert got[21]["near_next"] == 1.0 and got[21]["marks"] == got[60]["marks"]
     long = [got[3 * i] for i, t in enumerate(texts) if len(t) == 900]
-    assert all(r["near_edited"] > 0.4 for r in long)
+    assert all(r["near_edited"] > 0.35 for r in long)
 
 
 def test_next_row_of_ties_nulls_and_single_rows(spark):

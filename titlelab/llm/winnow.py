@@ -1,20 +1,21 @@
 """Document fingerprints by winnowing, in built-in expressions only.
 
-Every run of ``gram`` code points is hashed; of every ``window`` consecutive hashes the least
-one is kept, the rightmost of equal ones, with its position. So any two texts that share
-``gram + window - 1`` code points share a mark. A mark is one long: position (24 bits, above)
-and hash (39 bits). Positions past 2^24 wrap around; which hash is kept does not depend on it
-except between equal hashes at the wrap.
-
-The hashes of windows are found by doubling: minima of 2, 4, ... ``window`` neighbours, each
-from the step before, so a text costs a few linear passes however long it is. For the edited
-text only the part behind the first change is hashed anew.
-
-Defined results: null text counts as empty and has no marks; a text shorter than ``gram`` has
-one hash, a text with fewer hashes than a window keeps the least. Two texts without marks have
-likeness 1, one without and one with marks 0. Equal texts have equal marks. Rows are ordered by
-id with nulls last, equal ids by text, and each row, repeated or not, is followed by the next
-one in that order, the last by the first; a single row is followed by itself.
+A text is a sequence of units: runs of up to ``UNIT`` characters without white space, so words,
+or pieces of what has no gaps. Every run of ``gram`` units is hashed; of every ``window``
+consecutive hashes the least one is kept, the rightmost of equal ones, with its position. So any
+two texts that share ``gram + window - 1`` units share a mark. A mark is one long: position (24
+bits, above) and hash (39 bits). Positions past 2^24 wrap around; which hash is kept does not
+depend on it except between equal hashes at the wrap.
+
+The least hash of each window is found by doubling: minima of 2, 4, ... ``window`` neighbours,
+each from the step before, so a text costs a few linear passes however long it is.
+
+Defined results: null text counts as empty; a text without units has no marks, one with fewer
+than ``gram`` has one hash of all of them, one with fewer hashes than a window keeps the least.
+Two texts without marks have likeness 1, one without and one with marks 0. Equal texts have
+equal marks. Rows are ordered by id with nulls last, equal ids by text, and each row, repeated
+or not, is followed by the next one in that order, the last by the first; a single row is
+followed by itself.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 16, 32
+from titlelab.session import durable
+
+GRAM, WINDOW = 5, 4
+UNIT = 32
 HASH_BITS, PLACE_BITS = 39, 24
 _PLACES = (1 << PLACE_BITS) - 1
 _HASHES = (1 << HASH_BITS) - 1
@@ -37,21 +41,27 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def grams(text: Column, gram: int, first: Column) -> Column:
-    """Hash of each run of ``gram`` code points, above its position counted down from the top,
-    so that the lesser of two equal hashes is the one further right. Positions start at ``first``."""
-    width = 4 * gram
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
+
+
+def grams(found: Column, gram: int) -> Column:
+    """Hash of each run of ``gram`` units, above its position counted down from the top, so that
+    the lesser of two equal hashes is the one further right."""
+
+    def packed(value, i):
+        short = F.shiftleft(F.shiftrightunsigned(value, 64 - HASH_BITS), PLACE_BITS)
+        return short.bitwiseOR((F.lit(_PLACES) - i % (_PLACES + 1)).cast("long"))
 
-    def at(raw):
-        last = F.greatest(F.floor(F.length(raw) / 4).cast("int") - gram, F.lit(0))
-        return F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.shiftleft(
-                F.shiftrightunsigned(F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(width))), 64 - HASH_BITS), PLACE_BITS
-            ).bitwiseOR((F.lit(_PLACES) - (i + first) % (_PLACES + 1)).cast("long")),
+    def runs(h):
+        whole = F.transform(
+            F.slice(h, F.lit(1), F.size(h) - (gram - 1)),
+            lambda x, i: packed(F.xxhash64(x, *[h[i + k] for k in range(1, gram)]), i),
         )
+        few = F.transform(F.slice(h, 1, 1), lambda x, i: packed(F.xxhash64(h), i))
+        return F.when(F.size(h) < gram, few).otherwise(whole)
 
-    return F.when(text == "", F.array().cast("array<long>")).otherwise(let(F.encode(text, "UTF-32"), at))
+    return let(F.transform(found, lambda u: F.xxhash64(u)), runs)
 
 
 def minima(hashes: Column, window: int) -> Column:
@@ -73,9 +83,9 @@ def _lesser(values: Column, step: int) -> Column:
     return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(1 + step), n), lambda a, b: F.least(a, b))
 
 
-def marks(text: Column, gram: int = GRAM, window: int = WINDOW, first: Column | None = None) -> Column:
+def marks(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Marks of a text, by position."""
-    chosen = F.array_distinct(minima(grams(text, gram, F.lit(0) if first is None else first), window))
+    chosen = F.array_distinct(minima(grams(units(text), gram), window))
     return F.transform(
         chosen,
         lambda v: F.shiftleft(F.lit(_PLACES) - v.bitwiseAND(F.lit(_PLACES)), HASH_BITS).bitwiseOR(F.shiftright(v, PLACE_BITS)),
@@ -109,47 +119,39 @@ def fingerprints(docs: DataFrame, text: str = "text", gram: int = GRAM, window:
     return docs.withColumn(name, marks(F.coalesce(F.col(text), F.lit("")), gram, window))
 
 
-def edited_marks(old: Column, edited: Column, kept: Column, gram: int, window: int) -> Column:
-    """Marks of ``edited``, which shares its first ``kept`` code points with the text of marks ``old``.
-
-    Windows that end before the first changed hash are those of the old text; hashing starts two
-    windows before it, and what lies before that comes from the old marks.
-    """
-    first = F.greatest(kept - gram + 1 - 2 * window, F.lit(0)).cast("int")
-
-    def joined(start):
-        before = F.filter(old, lambda m: F.shiftright(m, HASH_BITS) < start + window - 1)
-        after = marks(F.substring(edited, start + 1, F.length(edited)), gram, window, start)
-        return F.array_sort(F.array_distinct(F.concat(before, after)))
-
-    return let(first, lambda start: F.when(start == 0, marks(edited, gram, window)).otherwise(joined(start)))
-
-
-def with_next(docs: DataFrame, key: str, order: list[Column], columns: list[str]) -> DataFrame:
-    """Add ``next_<column>``: the value in the row that follows, the last row being followed by the first.
+def with_next(docs: DataFrame, key: str, text: str, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``derive(docs)`` with ``next_<column>``: the value in the row that follows by key, nulls last
+    and equal keys by a hash of the text; the last row is followed by the first.
 
     Rows are dealt to ranges of the key, a few for each shuffle partition, and each range looks
-    ahead by itself; only the last row of a range meets the first row of the next range.
+    ahead by itself in the one shuffle of texts there is. Only the last row of a range needs the
+    first row of the next: those few are looked up by their keys, of which there are as many as
+    ranges, and derived anew.
     """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
     splits = [-float("inf"), *sorted({*cuts} or {0.0}), float("inf")]
-    keyed = docs.withColumn("range_key", F.col(key).cast("double"))
+    keyed = docs.withColumn("range_key", F.col(key).cast("double")).withColumn("tie", F.xxhash64(text))
     dealt = Bucketizer(splits=splits, inputCol="range_key", outputCol="range", handleInvalid="keep").transform(keyed)
-    dealt = dealt.withColumn("range", F.coalesce("range", F.lit(float(len(splits)))))  # null ids come last
-    within = W.partitionBy("range").orderBy(*order)
-    ahead = dealt.drop("range_key").withColumns(
-        {"place": F.row_number().over(within), "more": F.lead(F.lit(1)).over(within)}
-        | {f"next_{c}": F.lead(c).over(within) for c in columns}
-    )
-    firsts = ahead.where("place = 1").select("range", *[F.col(c).alias(f"first_{c}") for c in columns])
+    dealt = dealt.drop("range_key").withColumn("range", F.coalesce("range", F.lit(float(len(splits)))))  # null keys come last
+
+    within = W.partitionBy("range").orderBy(F.col(key).asc_nulls_last(), "tie")
+    ahead = derive(dealt).withColumns({"more": F.lead(F.lit(1)).over(within)} | {f"next_{c}": F.lead(c).over(within) for c in columns})
+
+    place = F.struct(F.col(key).alias("k"), F.col("tie").alias("t"))
+    bounds = durable(dealt.groupBy("range").agg(F.min(place).alias("low"), F.max(place).alias("high")))
     least = F.min("range").over(W.partitionBy())
-    turn = firsts.select("range").withColumn("then", F.coalesce(F.lead("range").over(W.orderBy("range")), least))
-    turn = turn.join(firsts.withColumnRenamed("range", "then"), "then").drop("then")
-    ends = ahead.where("more IS NULL").drop(*[f"next_{c}" for c in columns]).join(turn, "range")
-    ends = ends.withColumnsRenamed({f"first_{c}": f"next_{c}" for c in columns})
-    out = [*docs.columns, *[f"next_{c}" for c in columns]]
+    turns = bounds.select("range", F.coalesce(F.lead("range").over(W.orderBy("range")), least).alias("then"))
+
+    def rows_at(end: str) -> DataFrame:
+        spots = F.broadcast(bounds.select(F.col("range").alias("at"), f"{end}.k", f"{end}.t"))
+        found = dealt.join(spots, (F.col("range") == F.col("at")) & (F.col("tie") == F.col("t")) & F.col(key).eqNullSafe(F.col("k")))
+        return derive(found.drop("at", "k", "t").dropDuplicates(["range"]))  # repeated rows are alike
+
+    firsts = rows_at("low").select(F.col("range").alias("then"), *[F.col(c).alias(f"next_{c}") for c in columns])
+    ends = rows_at("high").join(turns, "range").join(firsts, "then").drop("then")
+    out = [c for c in ahead.columns if c not in ("more", "tie", "range")]
     return ahead.where("more IS NOT NULL").select(*out).unionByName(ends.select(*out))
 
 
@@ -157,14 +159,13 @@ def compare_edited(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     """(doc_id, n_chars, edited, marks, edited_marks, near_edited, near_next): each text against
     itself with its last quarter replaced by the start of the next one, and against the next one."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = fingerprints(rows, "text", gram, window)
-    rows = with_next(rows, "doc_id", [F.col("doc_id").asc_nulls_last(), F.col("text")], ["text", "marks"])
+    rows = with_next(rows, "doc_id", "text", lambda df: fingerprints(df, "text", gram, window), ["text", "marks"])
     n = F.length("text")
     gone = F.floor(n / 4).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn(
         "edited", F.concat(F.substring("text", F.lit(1), n - gone), F.substring("next_text", F.lit(1), gone))
     )
-    rows = rows.withColumn("edited_marks", edited_marks(F.col("marks"), F.col("edited"), n - gone, gram, window))
+    rows = fingerprints(rows, "edited", gram, window, "edited_marks")
     rows = rows.withColumn("own", hashes(F.col("marks")))
     return rows.select(
         "doc_id", "n_chars", "edited", "marks", "edited_marks",
