@@ -43,6 +43,8 @@ BLOCK_CHARS = 24_000_000
 SWEEPS = 3
 STRENGTH = 0.5
 END = b"\n"  # the end token; no word holds white space
+#: Words that a task seats at a time.
+GATHERED = 400_000
 #: Customers seated one by one; from there the gaps between new tables come from the continuous law.
 ONE_BY_ONE = 64
 
@@ -270,22 +272,38 @@ class Seats:
         return np.where(self.cells[at] == wanted, self.tables[at], 1)
 
 
-def word_tables(words: list[bytes], counts: np.ndarray, models: list[Spelling]):
-    """For each model the tables of the words and their spelling's probability, and last the
-    tables seated given the last model; replayed from the first sweep on."""
+def seat_words(words: list[bytes], counts: np.ndarray, model: Spelling | None, sweep: int) -> np.ndarray:
+    """Tables of the words in a sweep, given the model of the sweep before; one each in the first.
+
+    The tables of other words are those of all words then; a single word's own few among the
+    tables of the whole vocabulary are not taken off.
+    """
     import xxhash
 
-    seed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    tables, out = np.minimum(counts, 1), []
-    for sweep, model in enumerate(models):
-        spelt = np.exp(np.maximum(model.of(words), -700.0))
-        out.append((tables, spelt))
-        many = np.flatnonzero(counts > 1)
-        tables = tables.copy()
-        tables[many] = seat(
-            counts[many], np.maximum(model.tables - tables[many], 0), spelt[many], model.discount, seed[many] + np.uint64(sweep + 1)
-        )
-    return out, tables
+    tables = np.minimum(counts, 1)
+    many = np.flatnonzero(counts > 1)
+    if model is not None and len(many):
+        chosen = [words[i] for i in many.tolist()]
+        seed = np.fromiter(map(xxhash.xxh3_64_intdigest, chosen), np.uint64, len(chosen)) + np.uint64(sweep)
+        spelt = np.exp(np.maximum(model.of(chosen), -700.0))
+        tables[many] = seat(counts[many], np.full(len(many), model.tables), spelt, model.discount, seed)
+    return tables
+
+
+def gathered(batches):
+    """Arrow batches joined to about ``GATHERED`` rows: seating takes many steps, each over all
+    rows at hand."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def fit(words: DataFrame, sweeps: int = SWEEPS) -> list:
@@ -299,13 +317,13 @@ def fit(words: DataFrame, sweeps: int = SWEEPS) -> list:
     context, state, sent = words.sparkSession.sparkContext, None, []
     for sweep in range(sweeps):
 
-        def run(batches, sent=tuple(sent)):
+        def run(batches, last=sent[-1] if sent else None, sweep=sweep):
             import pyarrow as pa
 
             total, every = np.zeros(0, np.int64), 0
-            for batch in batches:
+            for batch in gathered(batches):
                 names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                tables = word_tables(names, n, [x.value for x in sent])[1]
+                tables = seat_words(names, n, last and last.value, sweep)
                 cells, starts = byte_cells(names)
                 sizes = np.diff(np.append(starts, len(cells)))
                 if not len(total):
@@ -335,7 +353,7 @@ def known_mass(words: DataFrame, models: list) -> list[float]:
         import pyarrow as pa
 
         total = np.zeros(len(models))
-        for batch in batches:
+        for batch in gathered(batches):
             names = batch.column(0).to_pylist()
             total += [np.exp(m.value.of(names)).sum() for m in models]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(models))), pa.array(total)], names=["model", "mass"])
@@ -355,15 +373,17 @@ def probabilities(words: DataFrame, models: list) -> DataFrame:
 
         known = [m.value for m in models]
         first = min(1, len(known) - 1)
-        for batch in batches:
+        for batch in gathered(batches):
             names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            states, _ = word_tables(names, n, known)
             logs = []
-            for model, (tables, spelt), covered in list(zip(known, states, mass))[first:]:
+            for sweep in range(first, len(known)):
+                model, covered = known[sweep], mass[sweep]
+                tables = seat_words(names, n, known[sweep - 1] if sweep else None, sweep)
+                spelt = np.exp(np.maximum(model.of(names), -700.0))
                 base = (STRENGTH + model.discount * model.tables) * np.where(n > 0, spelt, 1 - covered)
                 logs.append(np.log((n - model.discount * tables + base) / (STRENGTH + model.customers)))
             mean = np.logaddexp.reduce(np.array(logs), 0) - np.log(len(logs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mean / np.log(10))], names=["word", "count", "logp"])
+            yield from pa.table({"word": batch["word"], "count": batch["count"], "logp": mean / np.log(10)}).to_batches()
 
     return words.select("word", "count").mapInArrow(run, "word binary, count long, logp double")
 
