@@ -44,7 +44,7 @@ SWEEPS = 3
 STRENGTH = 0.5
 END = b"\n"  # the end token; no word holds white space
 #: Words that a task seats at a time.
-GATHERED = 400_000
+GATHERED = 200_000
 #: Customers seated one by one; from there the gaps between new tables come from the continuous law.
 ONE_BY_ONE = 64
 
