@@ -86,8 +86,12 @@ def _latin(text: str) -> bool:
     return True
 
 
-#: Latin-1 characters as a stop or comma, white space, letter or digit, or another mark.
-_KINDS = bytes(ord("," if c in ".," else " " if c.isspace() else "a" if c.isalnum() else "!") for c in map(chr, range(256)))
+#: Latin-1 characters as a stop or comma, white space, letter or digit, or another mark. The four
+#: separators from 0x1C are marks to the vocabulary's pattern, though Python calls them white space.
+_KINDS = bytes(
+    ord("," if c in ".," else " " if c.isspace() and not "\x1c" <= c <= "\x1f" else "a" if c.isalnum() else "!")
+    for c in map(chr, range(256))
+)
 
 
 class Encoder:
