@@ -167,3 +167,57 @@ def test_seating_matches_its_expectation():
     assert got == pytest.approx(total / 4000, rel=0.05)
     far = hpylm.seat(np.full(4000, 5000), np.full(4000, others), np.full(4000, base), discount, seeds)
     assert (far >= 1).all() and (far <= 5000).all() and far.mean() > got
+
+
+def test_word_order_counts(spark):
+    pick, follow = random.Random(5), {"the": "old", "old": "house", "house": "by", "by": "the"}
+    texts = []
+    for i in range(60):
+        row = [pick.choice(list(follow))]
+        for _ in range(30):
+            row.append(follow[row[-1]])
+        texts.append(" ".join(row))
+    salad = texts[0].split()
+    pick.shuffle(salad)
+    docs = spark.createDataFrame(list(enumerate([texts[0], " ".join(salad), *texts])), "doc_id long, text string")
+    fluent, mixed = hpylm.score(docs, F.col("doc_id") > 1).where("doc_id < 2").orderBy("doc_id").collect()
+    assert fluent["base_score"] == pytest.approx(mixed["base_score"])
+    assert fluent["score"] > mixed["score"] + 5
+
+
+def test_scores_do_not_depend_on_blocks(spark, texts, scored):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    for row in hpylm.score(docs, F.col("doc_id") % 4 != 1).collect():
+        assert row["score"] == pytest.approx(scored[row["doc_id"]]["score"])
+
+
+def test_probabilities_after_each_word_add_up(spark):
+    seen = {("a", "b"): 4, ("a", "a"): 1, ("b", "a"): 3, ("b", "\n"): 2, ("\n", "a"): 2, ("a", "\n"): 1, ("\n", "b"): 1}
+    counts = Counter()
+    for (_, w), n in seen.items():
+        counts[w] += n
+    ids = {w: i for i, w in enumerate([*counts, "new"])}
+    words = spark.createDataFrame([(w.encode(), i, counts[w]) for w, i in ids.items()], "word binary, id long, count long")
+    many = [(ids[u], ids[w], n) for (u, w), n in seen.items() if n > 1]
+    words, seats, discount, strengths = hpylm.learn(words, spark.createDataFrame(many, "u long, w long, count long"))
+    by_id, at = {r["id"]: r for r in words.collect()}, {(r["u"], r["w"]): r for r in seats.collect()}
+    assert list(strengths) == list(range(1, hpylm.SWEEPS))
+    for s, strength in strengths.items():
+        for u in counts:
+            tables = {w: at[ids[u], ids[w]][f"o{s}"] if (ids[u], ids[w]) in at else min(1, seen.get((u, w), 0)) for w in ids}
+            row = by_id[ids[u]]
+            assert sum(tables.values()) == row[f"o{s}"]
+            total = sum(
+                hpylm.after(seen.get((u, w), 0), tables[w], row["count"], row[f"o{s}"], math.exp(by_id[i][f"p{s}"]), discount, strength)
+                for w, i in ids.items()
+            )
+            assert total == pytest.approx(1, abs=1e-6)
+
+
+def test_blocks_and_tables_hash_words_alike(spark):
+    import xxhash
+
+    names = [b"\n", b"a", "é".encode(), b"x" * 40, bytes(range(200, 256))]
+    table = spark.createDataFrame([(w,) for w in names], "word binary").withColumn("id", F.xxhash64("word"))
+    for row in table.collect():
+        assert row["id"] % 2**64 == xxhash.xxh64_intdigest(bytes(row["word"]), 42)

@@ -1,19 +1,30 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model of words and their spelling.
-
-The word restaurant serves all tokens. Its base distribution is a spelling model: restaurants
-for contexts of the 0 to 3 bytes before, each sharing the restaurant of the shorter context as
-its parent, down to a uniform choice of bytes. A table opened for a word sends the word's
-spelling to the byte restaurants as one customer a byte, and a table opened there sends one to
-its parent. Gibbs sweeps unseat a dish and seat its customers anew by the Chinese-restaurant
-process, given all others; probabilities are averaged over the sweeps.
+"""Language-model scoring with a hierarchical Pitman-Yor model of words after words.
+
+Every word is the context of a restaurant for the words that follow it; the end token is the
+context of a text's first word. These restaurants share one parent, the word restaurant, which
+gets one customer for each table opened in them. Its base distribution is a spelling model:
+restaurants for contexts of the 0 to 3 bytes before, each sharing the restaurant of the shorter
+context as its parent, down to a uniform choice of bytes. A table opened for a word sends the
+word's spelling to the byte restaurants as one customer a byte, and a table opened there sends
+one to its parent. Gibbs sweeps unseat a dish and seat its customers anew by the
+Chinese-restaurant process, given all others; probabilities are averaged over the sweeps. The contexts of words share a
+strength, chosen by leaving out each training token, so text without order falls back on words.
 
 How it is spread: texts are cut into blocks of bounded size where they lie, each with its own
-dictionary, so Spark shuffles (block, word) rows and never (text, word) rows. The corpus is one
-(word, count) row for each word. A sweep seats the words in the tasks that hold them and sums
-the bytes of their tables with Spark. Byte contexts are classed (``CONTEXT_BITS``), so these
-sums are of bounded size; the byte restaurants are seated on the driver and sent back. Seating
-draws from a hash of word and sweep, so a task that is run again seats alike. Probabilities
-return to the blocks, and a text's score is the sum over its block indices.
+dictionaries of words and of pairs (previous word, word), so Spark shuffles (block, word) and
+(block, pair) rows and never (text, word) rows. A pair is known by 64-bit hashes of its words.
+One window over the pairs gives their training tokens. A pair with one token has one table in
+every sweep, so only pairs with more are seated, in a table of their own: with the word
+probability and the tables of the context of the sweep before. A word has as many tokens after
+it as it has itself, so a context's customers are the word's count, and what pairs with one
+token add to words and contexts is that count less the other pairs.
+
+A sweep seats the words in the tasks that hold them and sums the bytes of their tables with
+Spark. Byte contexts are classed (``CONTEXT_BITS``), so these sums are of bounded size; the byte
+restaurants are seated on the driver and sent back. Seating draws from a hash of dish and sweep,
+so a task that is run again seats alike. Words return to the blocks with their probability and
+tables, and pairs with their count and tables, unless their only token is in the block itself;
+a text's score is the sum over its block's pairs.
 
 All words without training tokens are one event, "a new word", as they are in the base score:
 its probability is what the word restaurant sends to its base, less the spellings it knows.
@@ -31,6 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from titlelab.session import durable
@@ -42,6 +54,8 @@ SYMBOLS = 257  # bytes and the end of a word
 BLOCK_CHARS = 24_000_000
 SWEEPS = 3
 STRENGTH = 0.5
+#: Strengths that the contexts of words choose from.
+STRENGTHS = [STRENGTH * 2 ** (k / 2) for k in range(41)]
 END = b"\n"  # the end token; no word holds white space
 #: Words that a task seats at a time.
 GATHERED = 200_000
@@ -55,21 +69,22 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Texts as counts of indices into a dictionary of their own."""
+    """Texts as counts of indices into a dictionary of pairs of words, which are indices into one of words."""
 
     def __init__(self):
-        self.index: dict[bytes, int] = {}
-        self.trained, self.texts, self.steps, self.times, self.chars = [], [], [], [], 0
+        self.index: dict[bytes, int] = {END: 0}
+        self.trained, self.texts, self.codes, self.times, self.chars = [], [], [], [], 0
 
     def add(self, place: int, text: str | None, train: bool) -> None:
         words = tokens(text)
         index = self.index
-        ids, n = np.unique(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int64, len(words)), return_counts=True)
-        self.texts.append((place, len(words), len(ids), train))
-        self.steps.append(np.diff(ids, prepend=0).astype("<i4"))
+        ids = np.fromiter([index.setdefault(w, len(index)) for w in words], np.int64, len(words))
+        codes, n = np.unique(np.roll(ids, 1) << 32 | ids, return_counts=True)  # the last word is the end token
+        self.texts.append((place, len(words), len(codes), train))
+        self.codes.append(codes)
         self.times.append(n.astype("<i4"))
         if train:
-            self.trained.append((ids, n))
+            self.trained.append((codes & 0xFFFFFFFF, n))
         self.chars += len(text or "") + 1
 
     def counts(self) -> np.ndarray:
@@ -80,13 +95,46 @@ class Block:
             total += np.bincount(ids, n, minlength=len(total)).astype(np.int64)
         return total
 
+    def packed(self) -> list[bytes]:
+        """Pairs of each text and how often each, the pairs' words, and the words' hashes."""
+        import xxhash
+
+        codes, at = np.unique(np.concatenate(self.codes), return_inverse=True)
+        starts = np.cumsum([0, *map(len, self.codes)])[:-1]
+        steps = np.diff(at, prepend=0)
+        steps[starts] = at[starts]  # steps restart in each text
+        before = np.diff(codes >> 32, prepend=0)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.index), np.uint64, len(self.index))
+        parts = (steps.astype("<i4"), np.concatenate(self.times), before.astype("<i4"), (codes & 0xFFFFFFFF).astype("<i4"), hashes.astype("<u8"))
+        return [zlib.compress(x.tobytes(), 1) for x in parts]
+
+
+PACKED = ("steps", "times", "befores", "afters", "hashes")
+
+
+class Unpacked:
+    """A block's row in arrays."""
+
+    def __init__(self, row: dict):
+        steps, self.times, before, after, hashes = (np.frombuffer(zlib.decompress(row[c]), "<u8" if c == "hashes" else "<i4") for c in PACKED)
+        self.times, self.before, self.after = self.times.astype(np.int64), np.cumsum(before, dtype=np.int64), after.astype(np.int64)
+        self.hashes = hashes.astype(np.uint64).view(np.int64)
+        self.distinct = np.array(row["kinds"])
+        self.starts = np.concatenate([[0], np.cumsum(self.distinct)[:-1]])
+        run = np.cumsum(steps, dtype=np.int64)
+        # steps restart in each text: take off what the texts before added up to
+        self.ids = run - np.repeat(np.concatenate([[0], run[self.starts[1:] - 1]]), self.distinct)
+        learnt = np.repeat(np.array(row["trained"], bool), self.distinct)
+        #: Training tokens of each pair in this block.
+        self.trained = np.bincount(self.ids[learnt], self.times[learnt], minlength=len(self.after)).astype(np.int64)
+
 
 def blocks(docs: DataFrame, train: Column, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each block and word (``word``, ``at``, ``train``), and one for each block's texts."""
     key = docs.schema["doc_id"].dataType
     schema = (
         f"block long, word binary, at int, train long, keys array<{key.simpleString()}>, sizes array<long>, "
-        "kinds array<long>, trained array<boolean>, steps binary, times binary"
+        "kinds array<long>, trained array<boolean>, " + ", ".join(f"{c} binary" for c in PACKED)
     )
 
     def run(batches):
@@ -96,16 +144,15 @@ def blocks(docs: DataFrame, train: Column, block_chars: int = BLOCK_CHARS) -> Da
         part, number, block = TaskContext.get().partitionId() << 32, 0, Block()
         keys: list = []
         names = [x.split()[0] for x in schema.split(", ")]
-        kinds = (pa.list_(key_kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary())
+        kinds = (pa.list_(key_kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * len(PACKED))
 
         def done():
             n, at = len(block.index), part | number
             yield pa.RecordBatch.from_arrays(
                 [pa.array([at] * n, pa.int64()), pa.array(list(block.index), pa.binary()), pa.array(np.arange(n, dtype=np.int32)),
                  pa.array(block.counts()), *[pa.nulls(n, k) for k in kinds]], names=names)
-            packed = [zlib.compress(np.concatenate(x).tobytes(), 1) for x in (block.steps, block.times)]
             _, size, distinct, trained = zip(*block.texts)
-            held = [[keys], [list(size)], [list(distinct)], [list(trained)], [packed[0]], [packed[1]]]
+            held = [[keys], [list(size)], [list(distinct)], [list(trained)], *[[x] for x in block.packed()]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([at]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
                  *[pa.array(h, k) for h, k in zip(held, kinds)]], names=names)
@@ -127,6 +174,27 @@ def blocks(docs: DataFrame, train: Column, block_chars: int = BLOCK_CHARS) -> Da
     return docs.select("doc_id", "text", train.alias("train")).mapInArrow(run, schema)
 
 
+def block_pairs(texts: DataFrame) -> DataFrame:
+    """(block, at, u, w, train): the pairs of each block, as hashes of the word before and the word."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                held = Unpacked(row)
+                for first in range(0, len(held.after), GATHERED):
+                    part = slice(first, first + GATHERED)
+                    n = len(held.after[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, row["block"], np.int64)), pa.array(np.arange(first, first + n, dtype=np.int32)),
+                         pa.array(held.hashes[held.before[part]]), pa.array(held.hashes[held.after[part]]), pa.array(held.trained[part])],
+                        names=["block", "at", "u", "w", "train"])
+
+    return texts.select("block", "kinds", "trained", *PACKED).mapInArrow(run, "block long, at int, u long, w long, train long")
+
+
 @dataclass
 class Spelling:
     """Probability of each byte after each class of context, and the tables of the word level.
@@ -191,7 +259,7 @@ def uniforms(seed: np.ndarray, step: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
 
 
-def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
+def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, seed: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
     """Tables of each dish after its customers sat down one after another.
 
     With n customers at t tables the next opens a table with weight (strength + discount *
@@ -204,12 +272,12 @@ def seat(customers: np.ndarray, others: np.ndarray, base: np.ndarray, discount:
         if not len(at):
             return tables
         t = tables[at]
-        new = (STRENGTH + discount * (others[at] + t)) * base[at]
+        new = (strength + discount * (others[at] + t)) * base[at]
         tables[at] += uniforms(seed[at], n) * (new + n - discount * t) < new
     at, n, step = at[customers[at] > ONE_BY_ONE], np.full(len(customers), float(ONE_BY_ONE)), ONE_BY_ONE
     while len(at):
         t = tables[at]
-        new = (STRENGTH + discount * (others[at] + t)) * base[at]
+        new = (strength + discount * (others[at] + t)) * base[at]
         # nobody opens a table from n to n + m with chance ((n - dt) / (n + m - dt)) ** new
         seated = n[at] - discount * t
         jump = seated * np.expm1(np.minimum(-np.log(uniforms(seed[at], step)) / np.maximum(new, 1e-300), 600.0))
@@ -308,42 +376,48 @@ def gathered(batches):
 
 def fit(words: DataFrame, sweeps: int = SWEEPS) -> list:
     """Gibbs sweeps over the (word, count) table; returns a broadcast model for each."""
+    state, sent = None, []
+    for sweep in range(sweeps):
+        state, model = sweep_words(words, sent[-1] if sent else None, state, sweep)
+        sent.append(model)
+    return sent
+
+
+def sweep_words(words: DataFrame, last, state: list | None, sweep: int) -> tuple:
+    """One sweep over the customers of the word restaurant, (word, count), and over the byte
+    restaurants; ``last`` and ``state`` are of the sweep before. Returns state and broadcast model."""
     counted = words.where("count > 0")
     sums = counted.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("all"), F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice")
     ).first()
     discount = discount_of(sums["once"], sums["twice"])
-    models: list[Spelling] = []
-    context, state, sent = words.sparkSession.sparkContext, None, []
-    for sweep in range(sweeps):
 
-        def run(batches, last=sent[-1] if sent else None, sweep=sweep):
-            import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-            total, every = np.zeros(0, np.int64), 0
-            for batch in gathered(batches):
-                names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                tables = seat_words(names, n, last and last.value, sweep)
-                cells, starts = byte_cells(names)
-                sizes = np.diff(np.append(starts, len(cells)))
-                if not len(total):
-                    total = np.zeros((1 << sum(CONTEXT_BITS)) * SYMBOLS, np.int64)
-                at, place = np.unique(cells, return_inverse=True)
-                total[at] += np.bincount(place, np.repeat(tables, sizes), minlength=len(at)).astype(np.int64)
-                every += int(tables.sum())
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], every))], names=["cell", "n"])
-
-        summed = counted.select("word", "count").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        got = summed.toArrow()  # at most contexts x symbols rows
-        cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(cell)
-        cell, n = cell[order], n[order]
-        tables = int(n[cell < 0].sum())
-        state = seat_bytes(cell[cell >= 0], n[cell >= 0], state, sweep)
-        models.append(Spelling(*compact(state, cell[cell >= 0]), tables, discount, int(sums["all"])))
-        sent.append(context.broadcast(models[-1]))
-    return sent
+        total, every = np.zeros(0, np.int64), 0
+        for batch in gathered(batches):
+            names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            tables = seat_words(names, n, last and last.value, sweep)
+            cells, starts = byte_cells(names)
+            sizes = np.diff(np.append(starts, len(cells)))
+            if not len(total):
+                total = np.zeros((1 << sum(CONTEXT_BITS)) * SYMBOLS, np.int64)
+            at, place = np.unique(cells, return_inverse=True)
+            total[at] += np.bincount(place, np.repeat(tables, sizes), minlength=len(at)).astype(np.int64)
+            every += int(tables.sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], every))], names=["cell", "n"])
+
+    summed = counted.select("word", "count").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = summed.toArrow()  # at most contexts x symbols rows
+    cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order]
+    tables = int(n[cell < 0].sum())
+    state = seat_bytes(cell[cell >= 0], n[cell >= 0], state, sweep)
+    model = Spelling(*compact(state, cell[cell >= 0]), tables, discount, int(sums["all"]))
+    return state, words.sparkSession.sparkContext.broadcast(model)
 
 
 def known_mass(words: DataFrame, models: list) -> list[float]:
@@ -363,6 +437,57 @@ def known_mass(words: DataFrame, models: list) -> list[float]:
     return [min(found.get(i, 0.0), 1 - 1e-9) for i in range(len(models))]
 
 
+def strength_of(contexts: DataFrame, seats: DataFrame, discount: float) -> float:
+    """The strength in ``STRENGTHS`` under which training tokens are likeliest when each in turn is
+    left out.
+
+    ``contexts`` has (count, tables, once): the tokens after a word, their tables, and the tokens
+    that are the only one of their pair. What is left of such a token is its probability without
+    context, which is the same under any strength. ``seats`` has the other pairs (count, tables,
+    others: the tables of their context, base).
+    """
+    grid = np.array(STRENGTHS)
+
+    def summed(value, tables: DataFrame):
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros(len(grid))
+            for table in gathered(batches):
+                columns = [c.to_numpy().astype(float) for c in table.columns]
+                total += [value(a, *columns).sum() for a in grid]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(grid))), pa.array(total)], names=["at", "total"])
+
+        return tables.mapInArrow(run, "at long, total double")
+
+    def of_contexts(a, count, tables, once):
+        return once * np.log(a + discount * np.maximum(tables - 1, 0)) - count * np.log(a + count - 1)
+
+    def of_pairs(a, count, tables, others, base):
+        gone = tables == count  # a token left out takes its table with it
+        return count * np.log(count - 1 - discount * (tables - gone) + (a + discount * (others - gone)) * np.exp(base))
+
+    both = summed(of_contexts, contexts.where("count > 0")).union(summed(of_pairs, seats.select("count", "tables", "others", "base")))
+    total = np.zeros(len(grid))
+    for row in both.groupBy("at").agg(F.sum("total").alias("total")).collect():  # a row for each strength
+        total[row["at"]] = row["total"]
+    return float(grid[total.argmax()])
+
+
+def after(n, tables, customers, opened, plain, discount: float, strength: float):
+    """Probability of a word after another: ``n`` customers at ``tables`` of a context that has
+    ``customers`` at ``opened``, and its probability without context."""
+    return (n - discount * tables + (strength + discount * opened) * plain) / (strength + customers)
+
+
+def log_words(names: list[bytes], n: np.ndarray, model: Spelling, last: Spelling | None, covered: float, sweep: int) -> np.ndarray:
+    """Natural logarithm of each word's probability in the word restaurant after a sweep."""
+    tables = seat_words(names, n, last, sweep)
+    spelt = np.exp(np.maximum(model.of(names), -700.0))
+    base = (STRENGTH + model.discount * model.tables) * np.where(n > 0, spelt, 1 - covered)
+    return np.log((n - model.discount * tables + base) / (STRENGTH + model.customers))
+
+
 def probabilities(words: DataFrame, models: list) -> DataFrame:
     """Add ``logp``: log10 of each word's probability, averaged over the sweeps after the first;
     for a word without training tokens that of any new word."""
@@ -377,17 +502,82 @@ def probabilities(words: DataFrame, models: list) -> DataFrame:
             names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             logs = []
             for sweep in range(first, len(known)):
-                model, covered = known[sweep], mass[sweep]
-                tables = seat_words(names, n, known[sweep - 1] if sweep else None, sweep)
-                spelt = np.exp(np.maximum(model.of(names), -700.0))
-                base = (STRENGTH + model.discount * model.tables) * np.where(n > 0, spelt, 1 - covered)
-                logs.append(np.log((n - model.discount * tables + base) / (STRENGTH + model.customers)))
+                logs.append(log_words(names, n, known[sweep], known[sweep - 1] if sweep else None, mass[sweep], sweep))
             mean = np.logaddexp.reduce(np.array(logs), 0) - np.log(len(logs))
             yield from pa.table({"word": batch["word"], "count": batch["count"], "logp": mean / np.log(10)}).to_batches()
 
     return words.select("word", "count").mapInArrow(run, "word binary, count long, logp double")
 
 
+def learn(words: DataFrame, pairs: DataFrame, sweeps: int = SWEEPS) -> tuple[DataFrame, DataFrame, float, dict[int, float]]:
+    """Gibbs sweeps over words and contexts.
+
+    ``words`` has (word, id, count) and ``pairs`` (u, w, count) of the pairs with more than one
+    training token. For each sweep s that counts, all after the first, words get ``p<s>``, the
+    logarithm of their probability without context, and ``o<s>``, the tables of the restaurant
+    that follows them, and pairs get ``o<s>``, their tables. Also returns the discount of the
+    contexts and their strength in each sweep that counts, chosen after the sweep before.
+    """
+    sums = pairs.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("all"), F.count_if(F.col("count") == 2).alias("twice")).first()
+    every = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
+    discount = discount_of(int(every) - int(sums["all"]), int(sums["twice"]))
+    judged = list(range(min(1, sweeps - 1), sweeps))
+    seats, last, state, strengths = pairs.withColumn("tables", F.lit(1).cast("long")), None, None, [STRENGTH]
+    for sweep in range(sweeps):
+        # customers without a table of their own, of each word and of each context
+        n = F.col("count") - F.col("tables")
+        sides = F.array(F.struct(F.col("w").alias("id"), n.alias("less"), F.lit(0).cast("long").alias("fewer"), F.lit(0).cast("long").alias("many")),
+                        F.struct(F.col("u").alias("id"), F.lit(0).cast("long").alias("less"), n.alias("fewer"), F.col("count").alias("many")))
+        spared = seats.select(F.inline(sides)).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("less", "fewer", "many")])
+        kept = [c for c in words.columns if c[0] in "po" and int(c[1:]) in judged]
+        now = durable(words.join(spared, "id", "left").select(
+            "word", "id", "count", *kept, (F.col("count") - F.coalesce("less", F.lit(0))).alias("customers"),
+            (F.col("count") - F.coalesce("fewer", F.lit(0))).alias(f"o{sweep}"),
+            (F.col("count") - F.coalesce("many", F.lit(0))).alias("once"),
+        ))
+        customers = now.select("word", F.col("customers").alias("count"))
+        state, model = sweep_words(customers, last, state, sweep)
+        covered = known_mass(customers, [model])[0]
+
+        def price(batches, model=model, last=last, covered=covered, sweep=sweep):
+            import pyarrow as pa
+
+            for table in gathered(batches):
+                names, n = table["word"].to_pylist(), table["customers"].to_numpy()
+                logp = log_words(names, n, model.value, last and last.value, covered, sweep)
+                yield from table.drop_columns(["customers", "once"]).append_column(f"p{sweep}", pa.array(logp)).to_batches()
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema if f.name not in ("customers", "once"))
+        words = durable(now.mapInArrow(price, f"{kinds}, p{sweep} double"))
+        last = model
+        if sweep + 1 < sweeps:
+            prior = words.select(F.col("id").alias("w"), F.col(f"p{sweep}").alias("base"))
+            context = words.select(F.col("id").alias("u"), F.col(f"o{sweep}").alias("others"))
+
+            done = ["u", "w", "count", *[c for c in seats.columns if c[0] == "o"]]
+            joined = durable(seats.join(prior, "w").join(context, "u").select(*done, "tables", "others", "base"))
+            strengths.append(strength_of(now.select("count", f"o{sweep}", "once"), joined, discount))
+
+            def reseat(batches, sweep=sweep + 1, strength=strengths[-1]):
+                import pyarrow as pa
+
+                for table in gathered(batches):
+                    u, w, n, others, tables = (table[c].to_numpy() for c in ("u", "w", "count", "others", "tables"))
+                    seed = u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                    found = seat(n, others - tables, np.exp(table["base"].to_numpy()), discount, seed + np.uint64(sweep), strength)
+                    held = table.drop_columns(["others", "base", "tables"]).append_column("tables", pa.array(found.astype(np.int64)))
+                    if sweep in judged:
+                        held = held.append_column(f"o{sweep}", pa.array(found.astype(np.int64)))
+                    yield from held.to_batches()
+
+            made = ["tables", *[f"o{s}" for s in judged if s == sweep + 1]]
+            seats = durable(joined.mapInArrow(reseat, ", ".join(f"{c} long" for c in [*done, *made])))
+    for s in judged:
+        if f"o{s}" not in seats.columns:  # the first sweep is the only one
+            seats = seats.withColumn(f"o{s}", F.col("tables"))
+    return words, seats.drop("tables"), discount, {s: strengths[s] for s in judged}
+
+
 def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS, sweeps: int = SWEEPS) -> DataFrame:
     """(doc_id, trained, n_tokens, n_known, train_tokens, base_score, score) for each text, learning
     from the rows where ``train`` holds. Scores are log10 probabilities; perplexity is
@@ -395,13 +585,29 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     cut = durable(blocks(rows, F.col("train"), block_chars))
     entries = cut.where("word IS NOT NULL").select("block", "word", "at", "train")
-    words = durable(entries.groupBy("word").agg(F.sum("train").alias("count")))
-    models = fit(words, sweeps)
+    texts = cut.where("word IS NULL").select(F.col("block"), "keys", "sizes", "kinds", "trained", *PACKED)
+    words = durable(entries.groupBy("word").agg(F.sum("train").alias("count")).withColumn("id", F.xxhash64("word")))
     sums = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
     total, kinds = int(sums["n"]), int(sums["v"])
-    known = durable(probabilities(words, models))
-    priced = entries.select("block", "word", "at").join(known, "word").select("block", "at", "count", "logp")
-    texts = cut.where("word IS NULL").select(F.col("block").alias("of_block"), "keys", "sizes", "kinds", "trained", "steps", "times")
+
+    same = W.partitionBy("u", "w")
+    met = block_pairs(texts).withColumns({"count": F.sum("train").over(same), "owner": F.col("block") == F.min("block").over(same)})
+    # a block knows of itself the pairs that it has the only token of
+    met = durable(met.where("count > 1 OR count > train").drop("train"))
+    words, seats, discount, strengths = learn(words, met.where("owner AND count > 1").select("u", "w", "count"), sweeps)
+    judged = list(strengths)
+    priced = entries.select("block", "word", "at").join(words, "word").select(
+        "block", "at", F.lit(False).alias("pair"), "count", *[f"o{s}" for s in judged], *[f"p{s}" for s in judged]
+    )
+    no_price = [F.lit(0.0).alias(f"p{s}") for s in judged]
+    found = met.where("count > 1").drop("count", "owner").join(seats, ["u", "w"]).select(
+        "block", "at", F.lit(True).alias("pair"), "count", *[f"o{s}" for s in judged], *no_price
+    )
+    single = met.where("count = 1").select(
+        "block", "at", F.lit(True).alias("pair"), "count", *[F.lit(1).cast("long").alias(f"o{s}") for s in judged], *no_price
+    )
+    priced = priced.union(found).union(single)
+    texts = texts.withColumnRenamed("block", "of_block")
     key_kind = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -410,25 +616,31 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     def sums_of(left, right):
         import pyarrow as pa
 
-        at = right.column("at").to_numpy()
-        count, logp = np.zeros(len(at), np.int64), np.zeros(len(at))
-        count[at], logp[at] = right.column("count").to_numpy(), right.column("logp").to_numpy()
+        is_pair = right.column("pair").to_numpy()
+        of_pairs, of_words = (right.filter(pa.array(x)) for x in (is_pair, ~is_pair))
+        at, place = of_words.column("at").to_numpy(), of_pairs.column("at").to_numpy()
+        count = np.zeros(len(at), np.int64)
+        count[at] = of_words.column("count").to_numpy()
         base = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
         out = []
-        for row in left.to_pylist():
-            steps = np.frombuffer(zlib.decompress(row["steps"]), "<i4").astype(np.int64)
-            times = np.frombuffer(zlib.decompress(row["times"]), "<i4").astype(np.int64)
-            distinct = np.array(row["kinds"])
-            starts = np.concatenate([[0], np.cumsum(distinct)[:-1]])
-            # steps restart in each text: take off what the texts before added up to
-            run = np.cumsum(steps)
-            ids = run - np.repeat(np.concatenate([[0], run[starts[1:] - 1]]), distinct)
+        for row in left.to_pylist():  # one row
+            held = Unpacked(row)
+            n = held.trained.copy()
+            n[place] = of_pairs.column("count").to_numpy()
+            mean = np.zeros(len(n))
+            for s in judged:
+                tables, opened, plain = np.minimum(n, 1), np.zeros(len(at), np.int64), np.zeros(len(at))
+                tables[place] = of_pairs.column(f"o{s}").to_numpy()
+                opened[at], plain[at] = of_words.column(f"o{s}").to_numpy(), np.exp(of_words.column(f"p{s}").to_numpy())
+                mean += after(n, tables, count[held.before], opened[held.before], plain[held.after], discount, strengths[s])
+            logp = np.log10(mean / len(judged))
+            ids, word, times, starts = held.ids, held.after[held.ids], held.times, held.starts
             out.append(pa.table({
                 "doc_id": pa.array(row["keys"], arrow_key), "trained": pa.array(row["trained"], pa.bool_()),
                 "n_tokens": pa.array(row["sizes"], pa.int64()),
-                "n_known": np.add.reduceat(np.where(count[ids] > 0, times, 0), starts),
+                "n_known": np.add.reduceat(np.where(count[word] > 0, times, 0), starts),
                 "train_tokens": np.full(len(starts), total),
-                "base_score": np.add.reduceat(times * base[ids], starts), "score": np.add.reduceat(times * logp[ids], starts),
+                "base_score": np.add.reduceat(times * base[word], starts), "score": np.add.reduceat(times * logp[ids], starts),
             }))
         return pa.concat_tables(out)
 
