@@ -129,6 +129,17 @@ def test_packing_encoder_equals_the_library():
         assert np.array(ids, "<u4").tobytes() == got
 
 
+def test_packing_encoder_equals_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(packing.vocabulary())
+    marked = ["first part <|endoftext|> second part", "<|startoftext|>A.B<|endoftext|>", "日本<|endoftext|>", "<|ENDOFTEXT|> x", "<|endoftext |>"]
+    texts = [*marked, *odd_texts(500)]
+    for text, got in zip(texts, packing.Encoder(packing.vocabulary()).texts(texts), strict=True):
+        assert np.array(fresh.encode(text, add_special_tokens=False).ids, "<u4").tobytes() == got
+    assert fresh.encode(marked[0], add_special_tokens=False).ids == [874, 1551, 49407, 2241, 1551]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_piece_once(seed):
     pick, size = np.random.default_rng(seed), 256

@@ -99,7 +99,8 @@ class Encoder:
 
     The vocabulary never joins across blanks and line ends, so words between them are encoded
     once and remembered. New words of Latin-1 characters are cut by the vocabulary's own pattern
-    first; the distinct pieces are encoded many to a call. Other words are encoded one by one.
+    first; the distinct pieces are encoded many to a call. Other words are encoded one by one. Texts
+    that hold a special token of the vocabulary, such as ``<|endoftext|>``, are encoded whole.
     """
 
     #: The vocabulary's pattern after lower-casing (a fixed value).
@@ -111,7 +112,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile(self.PATTERN).findall
         self.whole: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -119,10 +120,12 @@ class Encoder:
     def texts(self, texts: list[str]):
         """The ids of each text."""
         for first in range(0, len(texts), 512):
-            words = [self._spread(t).replace("\n", " ").split(" ") for t in texts[first : first + 512]]
+            group = texts[first : first + 512]
+            marked = [any(x in t for x in self.special) for t in group]
+            words = [[] if m else self._spread(t).replace("\n", " ").split(" ") for t, m in zip(group, marked)]
             self.learn(set().union(*words).difference(self.whole))
-            for row in words:
-                yield b"".join(map(self.whole.__getitem__, row))
+            for text, m, row in zip(group, marked, words):
+                yield self._each([text])[0] if m else b"".join(map(self.whole.__getitem__, row))
             if len(self.whole) > REMEMBERED:
                 self.whole.clear()
                 self.pieces.clear()
