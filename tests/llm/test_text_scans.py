@@ -276,6 +276,20 @@ def test_shared_run_leaves_a_shared_mark(spark):
     assert all(a & found[0] for a in found)
 
 
+def test_shifted_passage_without_gaps_shares_marks(spark):
+    pick = random.Random(4)
+    signs = [chr(0x4E00 + i) for i in range(800)] + ["\U0001d4b3"]
+    text = "".join(pick.choice(signs) for _ in range(2000))
+    changed = text[:900] + "x" + text[900:]
+    docs = spark.createDataFrame(list(enumerate([text, "y" + text, changed, "z" * 7 + text[500:1500]])), "i int, text string")
+    own = winnow.hashes(F.col("marks"))
+    rows = winnow.fingerprints(docs).select("i", own.alias("h"), F.concat_ws("", winnow.units(F.col("text"))).alias("whole"), "text").collect()
+    assert all(r["whole"] == r["text"] for r in rows)
+    found = {r["i"]: set(r["h"]) for r in rows}
+    assert all(len(found[0] & found[i]) > 0.8 * len(found[0] | found[i]) for i in (1, 2))
+    assert len(found[0] & found[3]) > 0.7 * len(found[3])
+
+
 def test_edited_text_and_next_text(spark):
     pick = random.Random(7)
     texts = ["".join(pick.choice("abcdé ") for _ in range(pick.choice([0, 3, 40, 90, 400, 900]))) for _ in range(60)]

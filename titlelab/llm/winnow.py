@@ -1,7 +1,11 @@
 """Document fingerprints by winnowing, in built-in expressions only.
 
-A text is a sequence of units: runs of up to ``UNIT`` characters without white space, so words,
-or pieces of what has no gaps. Every run of ``gram`` units is hashed; of every ``window``
+A text is a sequence of units: runs of up to ``UNIT`` characters without white space, so words.
+A longer run, as in scripts without gaps, is cut by its content: before each character whose hash
+with the next ``CUT - 1`` is less than those of the ``CUT_REACH`` characters on either side, and at
+``UNIT`` characters where no such place comes. So a shift or an inserted character changes the
+units near it only, and two such runs that share a passage share its units from the first cut on
+whose sides are shared too. Every run of ``gram`` units is hashed; of every ``window``
 consecutive hashes the least one is kept, the rightmost of equal ones, with its position. So any
 two texts that share ``gram + window - 1`` units share a mark. A mark is one long: position (24
 bits, above) and hash (39 bits). Positions past 2^24 wrap around; which hash is kept does not
@@ -31,6 +35,8 @@ from titlelab.session import durable
 
 GRAM, WINDOW = 5, 4
 UNIT = 32
+#: Characters hashed for a cut, and characters on either side whose hashes it must undercut.
+CUT, CUT_REACH = 4, 8
 HASH_BITS, PLACE_BITS = 39, 24
 _PLACES = (1 << PLACE_BITS) - 1
 _HASHES = (1 << HASH_BITS) - 1
@@ -42,7 +48,28 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
+    gapped = F.when(text.rlike(rf"\S{{{UNIT + 1}}}"), spaced(text)).otherwise(text)
+    return F.regexp_extract_all(gapped, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
+
+
+def spaced(text: Column) -> Column:
+    """The text's runs with blanks between, and at the cuts within those longer than ``UNIT``."""
+    found = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.array_join(F.transform(found, lambda run: F.when(F.length(run) > UNIT, cut(run)).otherwise(run)), " ")
+
+
+def cut(run: Column) -> Column:
+    def hashed(c):
+        return F.transform(F.slice(c, F.lit(1), F.size(c) - (CUT - 1)), lambda x, i: F.xxhash64(x, *[c[i + k] for k in range(1, CUT)]))
+
+    def least(h, m, i):  # m: the least of CUT_REACH hashes from each place on
+        inside = (i >= CUT_REACH) & (i < F.size(h) - CUT_REACH)
+        return F.when(inside, (h[i] < m[i + 1]) & (h[i] < m[i - CUT_REACH])).otherwise(False)
+
+    def gapped(c, h, m):
+        return F.array_join(F.transform(c, lambda x, i: F.when(least(h, m, i), F.concat(F.lit(" "), x)).otherwise(x)), "")
+
+    return let(F.split(run, ""), lambda c: let(hashed(c), lambda h: let(minima(h, CUT_REACH), lambda m: gapped(c, h, m))))
 
 
 def grams(found: Column, gram: int) -> Column:
