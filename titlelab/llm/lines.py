@@ -8,8 +8,8 @@ Lines travel as (hash, document, position), never as text. They are partitioned
 hash and sorted by document, greatest first, and position behind it, so one pass over a key meets
 its kept document first and numbers the documents that follow; the last number says in how many
 the key is found. A key that alone holds more than ``1 / HOT_SHARE`` of
-all lines would make one range too long: such keys, at most ``HOT_SHARE`` of them, are seen while
-the lines are written; their documents are counted by aggregates that fold each key within the
+all lines would make one range too long: such keys, at most ``HOT_SHARE`` of them, are found
+by a count of all keys; their documents are counted by aggregates that fold each key within the
 tasks that read it. Both ways give the same rows.
 
 The result is one bitmap for each document that loses a line, as run lengths: (start, length) of
@@ -18,16 +18,16 @@ text. Texts are shuffled once, to meet their bitmaps.
 
 Defined results: a null or empty text is one empty line. Rows that share an id count as one
 document when documents are counted and when the greatest id is found; each row keeps its own
-bitmap, known by id and two hashes of its text, so equal rows get equal bitmaps. A null id counts as an id less
-than all others, and such rows get bitmaps too. A text of any length is one row; its lines are
-exploded and its runs are at most its lines. An empty table gives an empty table. Extra columns
+bitmap, known by id and two hashes of its text, so equal rows get equal bitmaps. A null id counts
+as an id less than all others, and such rows get bitmaps too. A text of any length is one row; its
+lines are exploded and its runs are at most its lines. An empty table gives an empty table. Extra columns
 stay; one that bears the name of an output is replaced by it. White space is U+0020 and
 U+0009 to U+000D; a carriage return before the line feed belongs to the line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,8 +41,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: A key with more than one in so many lines is folded before the shuffle; at most so many keys are.
 HOT_SHARE = 1000
-#: Counters of the sketch that finds them: its error is far below the share.
-_TRACKED = 100_000
 #: Lines of one range.
 RANGE_LINES = 1_000_000
 
@@ -114,13 +112,12 @@ def keep_bitmaps(
     least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS,
 ) -> DataFrame:
     """(_id, _t_a, _t_b, n_dropped, keep) of each row that loses lines; all others keep all of theirs."""
-    seen = Observation()
-    share = F.expr(f"approx_top_k(_k_a, {HOT_SHARE}, {_TRACKED})")
-    lines = durable(
-        line_keys(docs, key, text, least_chars).observe(seen, F.count(F.lit(1)).alias("n"), share.alias("often"))
-    )
-    total = seen.get["n"]
-    hot = [int(r["item"]) for r in seen.get["often"] or [] if r["count"] * HOT_SHARE > total and r["count"] > RANGE_LINES // HOT_SHARE]
+    lines = durable(line_keys(docs, key, text, least_chars))
+    total = lines.count()
+    # Counts fold a key within each task; at most HOT_SHARE keys come to the driver.
+    least = max(total // HOT_SHARE, RANGE_LINES // HOT_SHARE)
+    often = lines.groupBy("_k_a").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hot = [r["_k_a"] for r in often.collect()]
     gone = dropped_lines(lines, max(1, -(-total // RANGE_LINES), _partitions(docs)), hot, least_docs)
     of_row = gone.groupBy("_id", "_t_a", "_t_b").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     return of_row.select("_id", "_t_a", "_t_b", F.size("_gone").alias("n_dropped"), kept_runs(F.col("_gone")).alias("keep"))
