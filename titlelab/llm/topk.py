@@ -16,6 +16,8 @@ fewer than k candidates get all. Scores outside 64 bits are cut to the nearest b
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,11 +32,11 @@ CANDIDATES, QUERIES = 16_384, 1_024
 GROUP = 16
 
 
-def quantised(rows: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """(id, v): usable vectors as whole numbers floor(scale * x), one row for each id."""
+def quantised(rows: DataFrame, key: str, vector: str, scale: int = SCALE, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, v) and the columns to keep: usable vectors as whole numbers floor(scale * x)."""
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     kept = rows.where(F.col(key).isNotNull() & (F.size(vector) > 0) & F.coalesce(usable, F.lit(False)))
-    return kept.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: _floor(x, scale)).alias("v"))
+    return kept.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: _floor(x, scale)).alias("v"), *keep)
 
 
 def _floor(x, scale: int):
