@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titlelab.llm import bpe, hpylm, html, jaccard, langid, lines, negatives, packing, quality, secrets, topk, winnow
+from titlelab.llm import bpe, hpylm, html, jaccard, langid, lines, negatives, packing, quality, secrets, spelling, topk, winnow
 from titlelab.llm.common import is_part, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,12 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.vocabulary(spelling.occurrences(table(spark, sf, "documents").select("doc_id", "text")))
+    return spelling.variants(words)
+
+
 @query
 def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = lines.dedup(table(spark, sf, "documents").select("doc_id", "text"))
