@@ -99,7 +99,7 @@ def mean_vector(spark, sf):
     """Words take the embeddings in alphabetical order; the last two stay unknown."""
     rows = titles(spark, sf).select("id", tokens("title").alias("words"))
     words = rows.select(F.explode("words").alias("word")).distinct()
-    ranked = numbered(words, ["word"], "_no").withColumn("vec_id", col("_no") - 1)
+    ranked = numbered(words, ["word"], "_no", distinct=True).withColumn("vec_id", col("_no") - 1)
     known = ranked.where(col("vec_id") < words.agg(F.count("*")).scalar() - 2)
     vectors = read_table(spark, "embeddings", sf).select("vec_id", col("embedding").alias("vec"))
     means = wv.mean_vector(rows, known.join(vectors, "vec_id"), "id", "words", 64)

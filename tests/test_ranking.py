@@ -106,3 +106,63 @@ def test_hot_sort_key_is_spread(spark, monkeypatch):
         assert titles == sorted(titles)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_equal_rows_are_spread_and_numbered(spark, monkeypatch):
+    """A row that makes up most of the table: folded to pieces, unfolded over several partitions."""
+    monkeypatch.setattr(ranking, "_PIECE_COPIES", 50)
+    written = []
+    monkeypatch.setattr(ranking, "durable", lambda df: written.append(durable(df)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        title = F.when(F.col("id") % 5 < 4, "same").otherwise(F.concat(F.lit("t"), F.col("id")))
+        rows = spark.range(4000).select(title.alias("title"), F.lit(None).cast("int").alias("x")).repartition(6)
+        placed = ranking.numbered(rows, ["title"])
+        assert placed.agg(F.count("*"), F.count_distinct("row_no"), F.max("row_no")).first()[:] == (4000, 4000, 4000)
+        titles = [r["title"] for r in placed.orderBy("row_no").collect()]
+        assert titles == sorted(r["title"] for r in rows.collect())
+        same = written[0].where("title = 'same'").groupBy(F.input_file_name()).count()
+        assert same.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+RERUN = """
+import os, random, sys
+sys.path.insert(0, {repo!r})
+from pyspark import TaskContext
+from titlelab.operators import ranking
+from titlelab.session import build_session
+
+spark = build_session("rerun", "local[2,4]", {{"spark.sql.shuffle.partitions": "5", "spark.ui.enabled": "false", "spark.checkpoint.dir": {shared!r}}})
+spark.sparkContext.setLogLevel("OFF")
+
+def shaken(frames):
+    # the first run of a task hands out its rows and dies; the next hands them out in another order
+    again = TaskContext.get().attemptNumber()
+    for frame in frames:
+        yield frame.sample(frac=1, random_state=again + {seed})
+    if {fail} and not again:
+        raise RuntimeError("lost")
+
+rows = spark.range(0, 3000, 1, 4).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 50 as string)) as title")
+placed = ranking.numbered(rows.mapInPandas(shaken, rows.schema), ["title"])
+numbers = sorted((r["id"], r["row_no"]) for r in placed.collect())
+assert sorted(n for _, n in numbers) == list(range(1, 3001))
+print("numbers", hash(tuple(numbers)))
+"""
+
+
+def test_numbers_are_the_same_after_lost_tasks(tmp_path):
+    """Tasks that die and come back with their rows in another order number them alike."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = []
+    for seed, fail in ((0, False), (7, True)):
+        code = RERUN.format(repo=str(Path(__file__).resolve().parents[1]), shared=str(tmp_path / f"s{seed}"), seed=seed, fail=fail)
+        done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240)
+        said.append([x for x in done.stdout.splitlines() if x.startswith("numbers")])
+        assert said[-1], done.stderr[-2000:]
+    assert said[0] == said[1]

@@ -70,7 +70,7 @@ def sub_catalog(subs: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 def in_thai_order(df: DataFrame, name: str, id_col: str, rank: str = "rank") -> DataFrame:
     """Number rows by name in Thai dictionary order, ids breaking ties."""
-    return numbered(df.withColumn("_key", thai_order(name)), ["_key", id_col], rank).drop("_key")
+    return numbered(df.withColumn("_key", thai_order(name)), ["_key", id_col], rank, distinct=True).drop("_key")
 
 
 def live_posts(posts: DataFrame, descriptions: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ three operators here never do that:
 
 * ``cap_per_group`` first ranks inside (key, slot) pieces of a group, so the last window
   sees at most ``spread * k`` rows of any group;
-* ``numbered`` / ``numbered_within`` sort by range over the whole table, with a salt behind
-  the sort keys, so a hot group, or a hot sort key, is spread over as many tasks as its size
-  asks for, and add per-partition offsets;
+* ``numbered`` / ``numbered_within`` sort by range over the whole table, with a hash of the row
+  behind the sort keys, so a hot group, or a hot sort key, is spread over as many tasks as its
+  size asks for, and add per-partition offsets;
 * ``hash_ranked`` ranks in md5 order, which cuts every group into even buckets.
 
 Order items are column names; a leading ``-`` means descending.
@@ -26,6 +26,8 @@ from titlelab.functions.hashing import hash32, seeded_md5
 from titlelab.session import durable
 
 _IN_PARTITION = (1 << 33) - 1
+# Equal rows that stay together when rows are numbered.
+_PIECE_COPIES = 10_000
 
 
 def order_name(item: str) -> str:
@@ -68,23 +70,32 @@ def cap_per_group(
     return ranked.where(F.col(rank) <= k)
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no", distinct: bool = False) -> DataFrame:
     """Number all rows 1..n in ``order`` without moving them through one task.
 
     Rows are range-partitioned and sorted, the placement is fixed by writing it down, and
     each partition's numbers are shifted by the row count before it. The only
-    single-task step handles one row per partition. A seeded random number is the last
-    range column: rows with equal sort keys, whose order is free, are spread over as many
-    partitions as their number asks for.
+    single-task step handles one row per partition. A hash of the whole row is the last
+    range column: rows with equal sort keys are spread over as many partitions as their number
+    asks for, and a row goes to the same place whenever a lost task is run again. Equal rows
+    have nothing to tell them apart, so they are folded to one with a count, cut into pieces of
+    ``_PIECE_COPIES`` that are spread, and unfolded with a number for each copy; ``distinct`` says
+    that there are none.
     """
     by = sort_columns(order)
-    placed = durable(
-        df.withColumn("_salt", F.rand(11))
-        .repartitionByRange(*by, "_salt")
-        .drop("_salt")
-        .sortWithinPartitions(*by)
-        .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_at", 33))
+    if distinct:
+        pieces = df.withColumn("_place", F.xxhash64(*df.columns))
+    else:
+        folded = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+        last = F.floor((F.col("_copies") - 1) / _PIECE_COPIES).cast("int")
+        cut = folded.withColumn("_piece", F.explode(F.sequence(F.lit(0), last)))
+        in_piece = F.least(F.lit(_PIECE_COPIES).cast("bigint"), F.col("_copies") - F.col("_piece").cast("bigint") * _PIECE_COPIES).cast("int")
+        spread = cut.select(*df.columns, in_piece.alias("_in_piece"), F.xxhash64(*df.columns, "_piece").alias("_place")).repartition("_place")
+        copies = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_in_piece"))))
+        pieces = copies.select(*df.columns, F.xxhash64("_place", "_copy").alias("_place"))
+    ranged = pieces.repartitionByRange(*by, "_place").sortWithinPartitions(*by, "_place")
+    placed = ranged.select(*df.columns, F.monotonically_increasing_id().alias("_at"))
+    placed = durable(placed).withColumn("_part", F.shiftright("_at", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -99,10 +110,10 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataF
 
 
 def numbered_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", distinct: bool = False
 ) -> DataFrame:
     """Number the rows of each group 1..n in ``order``, for groups of any size."""
-    rows = numbered(df, [*keys, *order], "_no")
+    rows = numbered(df, [*keys, *order], "_no", distinct)
     first = durable(rows.groupBy(*keys).agg(F.min("_no").alias("_first")))
     joined = attach(rows, first, keys)
     return joined.withColumn(name, F.col("_no") - F.col("_first") + 1).drop("_no", "_first")
