@@ -8,8 +8,6 @@ from conftest import SMALL
 
 # The training-text queries have tests of their own.
 OWN = {n for n in entry.queries() if n.startswith("op") or n == "pipeline"}
-# Five fits at full size each; the operators are tested at small sizes, the queries by compare.py.
-FULL = {"cross_validate", "training_report"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +15,7 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - OWN - FULL))
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - OWN))
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, SMALL, entry.queries()[name], entry.oracle_sql()[name]) is None
 

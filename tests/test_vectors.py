@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import values
 from titlelab.operators import centroids, similarity, text_vectors, word_vectors
 from titlelab.operators.labels import vocabulary
+from titlelab.plans import similar as similar_plan
 from titlelab.plans.similar import similar
 
 
@@ -72,7 +73,10 @@ def test_bounded_search_equals_brute_force(spark, min_score, longest):
     assert got == pytest.approx(want, abs=2e-8)
 
 
-def test_similar_report_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 9])
+def test_similar_report_equals_brute_force(spark, monkeypatch, block):
+    top = similarity.top_in_blocks
+    monkeypatch.setattr(similar_plan, "top_in_blocks", lambda q, c, n, least: top(q, c, n, least, block))
     corpus, asked = random_texts(120, 1), random_texts(40, 2)
     both, idf = weights(corpus)
     found = similar(frame(spark, asked, "q"), frame(spark, corpus), "q", "doc_id")
