@@ -11,7 +11,7 @@ from titlelab.operators import text_vectors as tv
 from titlelab.operators import word_vectors as wv
 from titlelab.operators.labels import vocabulary
 from titlelab.operators.ranking import numbered
-from titlelab.operators.similarity import scores_above
+from titlelab.operators.similarity import SCORE_DIGITS, cosine_scores, scores_above
 from titlelab.plans.similar import similar
 from titlelab.session import durable
 from titlelab.sources.tables import read_table
@@ -61,6 +61,21 @@ def similar_docs(spark, sf):
     return found.withColumnRenamed("query_id", "item_id")
 
 
+@query(
+    "benchmark_scores",
+    f"""WITH {_IDF}, {_Q}, {_C} SELECT item_id, doc_id, round(sum(q.w * c.w), 8) AS score
+      FROM q JOIN c USING (term) GROUP BY ALL""",
+)
+def benchmark_scores(spark, sf):
+    """Every score that is not zero between the benchmark's texts and the documents."""
+    docs, items = read_table(spark, "documents", sf), read_table(spark, "benchmark", sf)
+    terms = durable(tv.term_counts(docs.select("doc_id", tv.clean_text("text").alias("text")), ["doc_id"]))
+    idf = tv.fit_idf(terms.select("term", lit(1).alias("copies")), tv.row_total(docs))
+    asked = tv.term_counts(items.select(col("item_id").alias("query_id"), tv.clean_text("text").alias("text")), ["query_id"])
+    scores = cosine_scores(tv.tfidf(asked, idf, ["query_id"]), durable(tv.tfidf(terms, idf)))
+    return scores.select(col("query_id").alias("item_id"), "doc_id", F.round("score", SCORE_DIGITS).alias("score"))
+
+
 _TITLE_W = f"""t AS (SELECT title, count(*) AS m FROM (SELECT {strip_sql('title')} AS title FROM ({TITLES_SQL})) GROUP BY ALL),
     tt AS (SELECT title, unnest({tokens_sql('title')}) AS term FROM t),
     tc AS (SELECT title, term, count(*) AS tf FROM tt GROUP BY ALL),

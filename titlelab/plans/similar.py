@@ -50,20 +50,20 @@ def similar(
 
 
 def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, digest, words)`` of every row, written once: the only pass over the texts."""
-    cleaned = df.select(F.col(id_col).alias("id"), clean_text(text).alias("_text"))
-    return durable(cleaned.select("id", F.unhex(F.sha2("_text", 256)).alias("digest"), tokens("_text").alias("words")))
+    """``(id, digest, text)`` of every row, cleaned and written once: the only pass over the source."""
+    cleaned = df.select(F.col(id_col).alias("id"), clean_text(text).alias("text"))
+    return durable(cleaned.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), "text"))
 
 
 def _representatives(rows: DataFrame) -> DataFrame:
-    """One row for each text: its lowest id, its copies and its words."""
-    return rows.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("words").alias("words"))
+    """One row for each text: its lowest id and its copies. Only these are cut into words."""
+    return rows.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("text").alias("text"))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
     """``(id, copies, term, tf)`` of representatives. They lie by digest already, so counting a text's
     terms with its digest among the keys moves nothing."""
-    each = rows.select("digest", "id", "copies", F.explode("words").alias("term"))
+    each = rows.select("digest", "id", "copies", F.explode(tokens("text")).alias("term"))
     return each.groupBy("digest", "id", "copies", "term").agg(F.count("*").alias("tf")).drop("digest")
 
 
