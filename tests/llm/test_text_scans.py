@@ -40,12 +40,69 @@ def test_marked_article(spark):
         ("<article>a<b", "a"),
         ("<article><div hidden>h</div><div style='display:none'>h</div>a", "a"),
         ("<nav>m<article>a</article>", "a"),
+        ('<article><p>One <svg class="i"/> two</p><p>three</p></article>', "One two three"),
+        ("<article><p>One <svg><svg><title>t</title></svg>x</svg> two</p><p>three</p></article>", "One two three"),
+        ("<article><p title=it's>Alpha beta</p><p>it's gamma</p></article>", "Alpha beta it's gamma"),
+        ("<article><p title='a > b' lang=de>Alpha</p><script data-x='>'>s</script><p>beta</p></article>", "Alpha beta"),
+        ('<article><p title="open>Alpha</p><p>beta</p></article>', "Alpha beta"),
+        ("<article><!--><p>A</p><!---><p>B</p><!-- c > --!><p>C</p></article>", "A B C"),
+        ('<article><div class="entry-content with-sidebar"><p>One two</p></div></article>', "One two"),
+        ('<article><div class="has-comments"><p>One</p></div><p class="ad-hoc">two</p><p id="search-results-discussed">three</p></article>', "One two three"),
+        ('<article><p>a</p><div class="site-footer">f</div><div id="comments-list-2">c</div><p class="x ad1">y</p><p data-class="ad">b</p></article>', "a b"),
+        ("<main><p>lead</p><article>A</article><p>tail</p></main>", "lead A tail"),
+        ("<main><ul><li><p>link</p></li></ul><div>x</div><article>A</article><p>t <button>b</button> u</p><div class=related><p>r</p></div></main>", "A t u"),
     ],
 )
 def test_marked_page_variants(page, text):
     assert html.decide(html.blocks(page))[0] == text
 
 
+def grown_page(pick):
+    """A well-formed page and its text, known from how the page was made."""
+    number = iter(range(10**6))
+    kept = []
+
+    def words():
+        return " ".join(f"w{next(number)}" for _ in range(pick.randrange(1, 4)))
+
+    def noise():
+        name, attrs = pick.choice([
+            ("nav", ""), ("aside", " id=x"), ("div", ' class="a ad"'), ("form", ""), ("div", " hidden"), ("svg", ' d="M>"'), ("p", " class=share-links"),
+            ("script", ' src="a>b"'), ("div", " role='search'"), ("ul", " class='nav-list'"), ("section", ' title="it\'s" id="comments"'),
+        ])
+        return f"<{name}{attrs}>{words()}</{name}>"
+
+    def block(depth):
+        roll = pick.random()
+        if roll < 0.3:
+            return noise() + pick.choice(["", "<!-- > -->", "<!-->", "<svg/>"])
+        if roll < 0.5 and depth < 4:
+            name, attrs = pick.choice([("div", ' class="with-sidebar"'), ("section", " title=o'clock"), ("ul", ""), ("header", "")])
+            return f"<{name}{attrs}>" + "".join(block(depth + 1) for _ in range(pick.randrange(4))) + f"</{name}>"
+        text = [words(), words()]
+        kept.append(" ".join(text))
+        return f"<p title='x > y'>{text[0]} <b class=no-ads>{text[1]}</b></p>" if roll < 0.8 else f"<h2>{text[0]}&#32;{text[1]}<br></h2>"
+
+    before, after = "".join(noise() for _ in range(2)), "".join(noise() for _ in range(2))
+    article = "".join(block(0) for _ in range(pick.randrange(1, 7)))
+    return f"<html><body>{before}<article>{article}</article>{after}</body></html>", " ".join(kept)
+
+
+def test_grown_pages_give_what_they_were_made_of():
+    pick = random.Random(8)
+    for _ in range(400):
+        page, text = grown_page(pick)
+        if text:
+            assert html.decide(html.blocks(page))[0] == text, page
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    page = "<article>" + "<p>some 'words' here</p><svg/>" * 60_000 + "</article>"
+    table = spark.createDataFrame([(1, "u", page, 5, "r", 2)], "page_id long, url string, html string, blocks int, host string, row int")
+    row = html.extract(table).first()
+    assert row["text"] == " ".join(["some 'words' here"] * 60_000) and (row["blocks"], row["host"], row["row"]) == (5, "r", 2)
+
+
 def covered_by_brute_force(pages, run):
     """Tokens of each page outside runs that another distinct page of the host has too."""
     out = {}
