@@ -217,8 +217,44 @@ def test_plan_places_every_piece_once(seed):
             assert offset == at
             at += length
         assert at <= size
-    best_fit = packing.plan(counts, size, width=size)  # no patterns: best fit of the longest first
-    assert len(used) <= 1.06 * (best_fit[:, 3] + best_fit[:, 2]).max() + 1
+    best_fit = packing.place_all(counts, size, [], 0.0)  # no patterns: best fit of the longest first
+    assert len(used) <= packing.n_sequences(best_fit)
+
+
+def plain_best_fit(counts, size):
+    """Sequences that best fit of the longest first needs, piece by piece."""
+    free = np.zeros(size + 1, np.int64)
+    opened = 0
+    for length in range(size, 0, -1):
+        for _ in range(int(counts[length])):
+            at = np.flatnonzero(free[length:])
+            if len(at):
+                free[length + at[0]] -= 1
+                space = length + int(at[0])
+            else:
+                opened, space = opened + 1, size
+            free[space - length] += 1
+    return opened
+
+
+@pytest.mark.parametrize("shape", ["flat", "short", "long", "two peaks", "few lengths"])
+def test_plan_is_no_worse_than_best_fit(shape):
+    pick, size, n = np.random.default_rng(5), 4096, 20_000
+    lengths = {
+        "flat": lambda: pick.integers(1, size + 1, n),
+        "short": lambda: pick.exponential(400, n),
+        "long": lambda: pick.normal(1500, 500, n),
+        "two peaks": lambda: np.concatenate([pick.normal(900, 150, n // 2), pick.normal(2300, 300, n // 2)]),
+        "few lengths": lambda: pick.choice([900, 1100, 1300, 1700, 2048], n),
+    }[shape]()
+    counts = np.bincount(np.clip(lengths, 1, size).astype(int), minlength=size + 1)
+    rows = packing.plan(counts, size)
+    assert (np.bincount(rows[:, 0], rows[:, 2], minlength=size + 1) == counts).all()
+    got, least = packing.n_sequences(rows), -(-int((counts * np.arange(size + 1)).sum()) // size)
+    print(shape, [packing.n_sequences(packing.place_all(counts, size, packing.fit(counts, size), x)) for x in packing.SHARES], least)
+    assert least <= got <= plain_best_fit(counts, size)
+    if shape in ("flat", "short"):
+        assert got <= 1.005 * least + 1
 
 
 def test_nnls_equals_a_known_solution():

@@ -4,7 +4,8 @@ Tasks tokenise whole texts and write one narrow row for each piece. Only the his
 lengths (at most ``size`` numbers) decides the packing: patterns of up to three length bins that
 fill a sequence are enumerated, their repeat counts are fitted to the histogram by non-negative
 least squares and rounded, and what they leave over is packed best-fit into the gaps and into
-new sequences. The resulting plan says which running number of which length goes where; tasks
+new sequences. This is planned for each of ``SHARES`` of the fitted counts, the last of which uses
+no pattern; the plan with the fewest sequences is taken. The resulting plan says which running number of which length goes where; tasks
 look their pieces up in it, so no piece passes through the driver.
 
 Defined results: null and empty texts are one end token. A text longer than ``size`` tokens is
@@ -30,6 +31,8 @@ SIZE = 4096
 END = 1
 #: Length bins that a sequence is divided into for the patterns.
 BINS = 64
+#: Shares of the patterns' repeat counts that are planned; 0 is best fit alone, so none is worse than it.
+SHARES = tuple(n / 10 for n in range(10, -1, -1))
 #: Distinct words whose ids a task remembers at a time.
 REMEMBERED = 700_000
 
@@ -206,9 +209,45 @@ def patterns(bins: int) -> np.ndarray:
     return np.array(found)
 
 
-def plan(counts: np.ndarray, size: int, width: int | None = None) -> np.ndarray:
-    """Rows (length, first number, pieces, first sequence, offset) that place ``counts[length]`` pieces."""
-    width = width or max(1, size // BINS)
+def plan(counts: np.ndarray, size: int) -> np.ndarray:
+    """Rows (length, first number, pieces, first sequence, offset) that place ``counts[length]`` pieces,
+    in as few sequences as any of ``SHARES`` needs.
+
+    A row places one length into one run of sequences with equal gaps, so the number of rows follows
+    from the distinct lengths and gaps, at most ``size`` each, and not from the pieces.
+    """
+    times = fit(counts, size)
+    return min((place_all(counts, size, times, share) for share in SHARES), key=n_sequences)
+
+
+def n_sequences(rows: np.ndarray) -> int:
+    return int((rows[:, 3] + rows[:, 2]).max()) if len(rows) else 0
+
+
+def fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns, as tuples of bins, with their fitted repeat counts, the greatest first."""
+    width = max(1, size // BINS)
+    bins = size // width
+    if size % width or bins <= 2 or not counts.sum():
+        return []
+    by_bin = np.zeros(bins + 1)
+    np.add.at(by_bin, -(-np.arange(size + 1) // width), counts)
+    by_bin[0] = 0
+    kinds = patterns(bins)
+    kinds = kinds[((by_bin[kinds] > 0) | (kinds == 0)).all(1)]
+    if not len(kinds):
+        return []
+    a = np.zeros((bins + 1, len(kinds)))
+    for j in range(3):
+        np.add.at(a, (kinds[:, j], np.arange(len(kinds))), 1)
+    a[0] = 0
+    x = nnls(a, by_bin)
+    return [(tuple(b for b in kinds[p].tolist() if b), float(x[p])) for p in np.argsort(-x, kind="stable") if x[p] > 0]
+
+
+def place_all(counts: np.ndarray, size: int, fitted: list, share: float) -> np.ndarray:
+    """The plan that repeats each pattern ``share`` of its fitted count, the rest best-fit."""
+    width = max(1, size // BINS)
     left, used = counts.astype(np.int64).copy(), np.zeros(len(counts), np.int64)
     rows, gaps, sequences = [], {}, 0  # gaps: free space -> [(first sequence, sequences)]
 
@@ -217,40 +256,27 @@ def plan(counts: np.ndarray, size: int, width: int | None = None) -> np.ndarray:
         used[length] += n
         left[length] -= n
 
-    bins = size // width
-    if size % width == 0 and bins > 2 and left.sum():
-        by_bin = np.zeros(bins + 1, np.int64)
-        bin_of = -(-np.arange(size + 1) // width)
-        np.add.at(by_bin, bin_of, left)
-        by_bin[0] = 0
-        kinds = patterns(bins)
-        kinds = kinds[((by_bin[kinds] > 0) | (kinds == 0)).all(1)]
-        a = np.zeros((bins + 1, len(kinds)))
-        for j in range(3):
-            np.add.at(a, (kinds[:, j], np.arange(len(kinds))), 1)
-        a[0] = 0
-        x = nnls(a, np.where(np.arange(bins + 1), by_bin, 0).astype(float)) if len(kinds) else np.zeros(0)
-        for p in np.argsort(-x, kind="stable"):
-            if x[p] < 0.5:
-                break
-            wanted = Counter(b for b in kinds[p].tolist() if b)
-            times = min([int(x[p] + 0.5), *(int(by_bin[b] // m) for b, m in wanted.items())])
-            if times <= 0:
-                continue
-            runs = []
-            for b, m in wanted.items():
-                by_bin[b] -= m * times
-                longest = _runs(left, b * width, max(1, (b - 1) * width + 1), m * times)
-                runs += [_cut(longest, j * times, times, j % 2) for j in range(m)]
-            # the last and shortest piece is left to best fit, which finds the one that fills the gap
-            for n, lengths in _segments(runs[:-1] or runs):
-                offset = 0
-                for length in lengths:
-                    place(length, n, sequences, offset)
-                    offset += length
-                if offset < size:
-                    gaps.setdefault(size - offset, []).append((sequences, n))
-                sequences += n
+    by_bin = np.zeros(size // width + 2, np.int64)
+    np.add.at(by_bin, -(-np.arange(len(left)) // width), left)
+    for kind, repeats in fitted:
+        wanted = Counter(kind)
+        times = min([int(share * repeats + 0.5), *(int(by_bin[b] // m) for b, m in wanted.items())])
+        if times <= 0:
+            continue
+        runs = []
+        for b, m in wanted.items():
+            by_bin[b] -= m * times
+            longest = _runs(left, b * width, max(1, (b - 1) * width + 1), m * times)
+            runs += [_cut(longest, j * times, times, j % 2) for j in range(m)]
+        # the last and shortest piece is left to best fit, which finds the one that fills the gap
+        for n, lengths in _segments(runs[:-1] or runs):
+            offset = 0
+            for length in lengths:
+                place(length, n, sequences, offset)
+                offset += length
+            if offset < size:
+                gaps.setdefault(size - offset, []).append((sequences, n))
+            sequences += n
     spaces = sorted(gaps)
     for length in range(size, 0, -1):
         while left[length]:
