@@ -34,11 +34,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays, and of rows that
-    repeat an id one. Rows without an id can't be compared by it and stay."""
-    kept = jaccard.join(docs).where("doc_id = class_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each class of near duplicates the document with the smallest id stays.
+
+    Rows are compared by text, also those that share an id or have none: different texts of one id
+    are different documents. Where several rows hold the smallest id and the same text, one stays,
+    the one whose other columns have the least hash. Documents with an id come before those without.
+    """
+    named = docs.select(*_held(docs))
+    doc_id, text = F.col(_name(docs, "doc_id")), F.col(_name(docs, "text"))
+    texts = F.xxhash64(F.coalesce(text, F.lit("")))
+    shared = named.groupBy(doc_id.alias("shared_id")).agg(F.min(texts).alias("low"), F.max(texts).alias("high"))
+    shared = durable(shared.where("low < high AND shared_id IS NOT NULL").select("shared_id"))
+    # ids name their row, unless several texts share one; those rows, and rows without an id, go by a hash
+    rows = named.join(shared, doc_id == F.col("shared_id"), "left")
+    rows = rows.withColumn("row_key", F.when(F.col("shared_id").isNull(), doc_id)).drop("shared_id")
+    rows = durable(rows.withColumn("row_key", F.coalesce("row_key", F.xxhash64(doc_id, text))))
+
+    classes = jaccard.join(rows, text=_name(docs, "text"), key="row_key").select(F.col("doc_id").alias("row_key"), "class_id")
+    ids = rows.groupBy("row_key").agg(F.min(doc_id).alias("id"))
+    first = classes.join(ids, "row_key").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row_key"))).alias("first"))
+    kept = rows.join(first.select("first.row_key"), "row_key", "left_semi")
+    plain = [c for c in named.columns if "map<" not in named.schema[c].dataType.simpleString()]
+    one = kept.groupBy("row_key").agg(F.min_by(F.struct(*named.columns), F.xxhash64(*plain)).alias("row"))
+    return one.select(*[F.col(f"row.{_name(docs, c)}").alias(c) for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

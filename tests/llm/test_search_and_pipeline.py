@@ -146,5 +146,50 @@ def test_pipeline_stages(spark):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(f"n > {packing.SIZE}").count() == 0
 
 
+def dedup(spark, docs):
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    return stage(spark, docs, SMALL)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicate_stage_keeps_texts_that_share_an_id(spark):
+    pick = random.Random(2)
+    one, two, three = (" ".join(f"{x}{pick.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 2), (1, one.upper(), "de", "s", 3), (2, two, "en", "s", 4), (3, three, "en", "z", 5)]
+    rows += [(3, three, "en", "a", 5)] * 3 + [(None, three, "en", "s", 6), (None, "alone", "en", "s", 7), (None, "alone", "en", "s", 7)]
+    found = [sorted((r["doc_id"] or 0, r["text"].lower()[:9]) for r in dedup(spark, spark.createDataFrame(rows, DOCS).repartition(n)).collect()) for n in (1, 4)]
+    assert found[0] == found[1] == sorted([(1, one[:9]), (1, two[:9]), (3, three[:9]), (0, "alone")])
+    kept = [dedup(spark, spark.createDataFrame(rows[::step], DOCS).repartition(n)).where("doc_id = 3").collect() for step in (1, -1) for n in (1, 4)]
+    assert all(k == kept[0] for k in kept)
+
+
+def test_near_duplicate_stage_equals_brute_force_on_shared_ids(spark):
+    texts = near_copies(4)
+    pick = random.Random(5)
+    ids = [pick.choice([None, *range(40)]) for _ in texts]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in zip(ids, texts)], DOCS)
+    n_classes = len({r[2] for r in brute_force([t for t in texts if t and t.strip()], jaccard.WORDS, jaccard.LEAST)})
+    n_blank = len({(i, t) for i, t in zip(ids, texts) if not (t and t.strip())})
+    assert dedup(spark, docs).count() == n_classes + n_blank
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    clashing = docs.limit(60).selectExpr("*", "1 AS row_key", "'x' AS class_id", "2 AS score", "3 AS predicted", "map('a', 1) AS spans", "4 AS shared_id")
+    long_text = " ".join(r["text"] for r in docs.limit(200).collect()) * 5
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, long_text, "en", "s", len(long_text))] * 2, docs.schema
+    ).selectExpr("*", "1 AS row_key", "'x' AS class_id", "2 AS score", "3 AS predicted", "map('a', 1) AS spans", "4 AS shared_id")
+    for table in (clashing.unionByName(odd), clashing.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, table, SMALL)
+            assert kept.columns == table.columns
+            table = kept.cache()
+        pieces = corpus_pipeline.STAGES[-1][1](spark, table, SMALL)
+        assert pieces.select("doc_id").distinct().count() == table.select("doc_id").distinct().count()
+
+
 def test_pipeline_runs_from_the_tables(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
