@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,32 @@ def test_language_without_training_rows(spark, labelled):
     assert langid.predict(labelled.limit(0), model).count() == 0
 
 
+def test_pieces_of_long_texts_score_alike(spark, labelled, monkeypatch):
+    """Brute force: the sum over all grams of each text, one at a time."""
+    model = langid.fit(labelled)
+    texts = [prose("aa", 300, 1) + " 12 " + prose("bb", 900, 2), "x", "1 2", "", prose("bb", 40, 3)]
+    letters, buckets = langid._letters(), len(model.logp) - 1
+    mask, wanted = (1 << 64) - 1, []
+    for t in texts:
+        codes = [int(letters[ord(c)]) for c in f" {t} "]
+        total = model.prior.copy()
+        for order in range(1, langid.ORDERS + 1):
+            for end in range(order, len(codes) + 1):
+                gram = codes[end - order : end]
+                if any(c != 32 for c in gram):
+                    h = 0
+                    for c in reversed(gram):
+                        h = (h * 0x100000001B3 + c + 1) & mask
+                    total += model.logp[((h * 0x9E3779B97F4A7C15) & mask) >> (64 - buckets.bit_length() + 1)]
+        wanted.append((model.langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())) if any(map(str.isalpha, t)) else ("und", 0.0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(1)
+    for most in (langid.PIECE, 100, 7):
+        monkeypatch.setattr(langid, "PIECE", most)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+        for i, (lang, score) in enumerate(wanted):
+            assert got[i][0] == lang and abs(got[i][1] - score) < 1e-6
+
+
 def test_language_sample_is_bounded(spark, labelled):
     assert langid.fit(labelled, max_train=40).langs == ["aa", "bb"]
 
