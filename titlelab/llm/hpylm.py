@@ -217,6 +217,11 @@ class Spelling:
         return np.add.reduceat(found, starts, dtype=np.float64)
 
 
+def received(sent) -> Spelling | None:
+    """The model of a broadcast, which holds plain fields: executors have no class to read it by."""
+    return sent and Spelling(**sent.value)
+
+
 def compact(state: list, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``row_of`` and ``logp`` of the probabilities of all lengths, for the cells of the longest."""
     total = sum(CONTEXT_BITS)
@@ -398,7 +403,7 @@ def sweep_words(words: DataFrame, last, state: list | None, sweep: int) -> tuple
         total, every = np.zeros(0, np.int64), 0
         for batch in gathered(batches):
             names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            tables = seat_words(names, n, last and last.value, sweep)
+            tables = seat_words(names, n, received(last), sweep)
             cells, starts = byte_cells(names)
             sizes = np.diff(np.append(starts, len(cells)))
             if not len(total):
@@ -417,7 +422,7 @@ def sweep_words(words: DataFrame, last, state: list | None, sweep: int) -> tuple
     tables = int(n[cell < 0].sum())
     state = seat_bytes(cell[cell >= 0], n[cell >= 0], state, sweep)
     model = Spelling(*compact(state, cell[cell >= 0]), tables, discount, int(sums["all"]))
-    return state, words.sparkSession.sparkContext.broadcast(model)
+    return state, words.sparkSession.sparkContext.broadcast(vars(model))
 
 
 def known_mass(words: DataFrame, models: list) -> list[float]:
@@ -426,10 +431,10 @@ def known_mass(words: DataFrame, models: list) -> list[float]:
     def run(batches):
         import pyarrow as pa
 
-        total = np.zeros(len(models))
+        total, known = np.zeros(len(models)), [received(m) for m in models]
         for batch in gathered(batches):
             names = batch.column(0).to_pylist()
-            total += [np.exp(m.value.of(names)).sum() for m in models]
+            total += [np.exp(m.of(names)).sum() for m in known]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(models))), pa.array(total)], names=["model", "mass"])
 
     summed = words.where("count > 0").select("word").mapInArrow(run, "model long, mass double").groupBy("model").agg(F.sum("mass").alias("mass"))
@@ -496,7 +501,7 @@ def probabilities(words: DataFrame, models: list) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        known = [m.value for m in models]
+        known = [received(m) for m in models]
         first = min(1, len(known) - 1)
         for batch in gathered(batches):
             names, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
@@ -544,7 +549,7 @@ def learn(words: DataFrame, pairs: DataFrame, sweeps: int = SWEEPS) -> tuple[Dat
 
             for table in gathered(batches):
                 names, n = table["word"].to_pylist(), table["customers"].to_numpy()
-                logp = log_words(names, n, model.value, last and last.value, covered, sweep)
+                logp = log_words(names, n, received(model), received(last), covered, sweep)
                 yield from table.drop_columns(["customers", "once"]).append_column(f"p{sweep}", pa.array(logp)).to_batches()
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema if f.name not in ("customers", "once"))
