@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +145,20 @@ def test_word2vec_knows_every_word(spark):
     assert sorted(r.word for r in table) == ["bolt", "red", "rod"] and all(len(r.vec) == 4 for r in table)
 
 
+@pytest.mark.parametrize("iterations", [1, 3])
+def test_word2vec_is_a_table_and_brings_neighbours_together(spark, monkeypatch, iterations):
+    monkeypatch.setattr(word_vectors, "BLOCK_WORDS", 5_000)
+    pick = random.Random(1)
+    groups = [[f"{g}{i}" for i in range(10)] for g in "abcd"]
+    texts = [" ".join(pick.choices(pick.choice(groups), k=12)) for _ in range(3000)] + ["lonely", None]
+    model = word_vectors.word2vec(spark.createDataFrame([(t,) for t in texts], "text string"), dim=16, iterations=iterations, partitions=2)
+    assert {r.word: r.times for r in model.vectors.collect()} == Counter(w for t in texts if t for w in t.split())
+    unit = {r.word: np.array(r.vec) / np.linalg.norm(r.vec) for r in word_vectors.word_table(model).collect()}
+    near = np.mean([unit[a] @ unit[b] for g in groups for a in g for b in g if a != b])
+    far = np.mean([unit[a] @ unit[b] for g in groups for h in groups if g != h for a in g for b in h])
+    assert near > far + 0.02
+
+
 def test_hierarchy_stays_inside_the_main(spark):
     data = [(1, 10, "red rod"), (1, 10, "red rod"), (1, 11, "blue rod"), (2, 20, "green nut"), (2, 21, "red nut")]
     history = spark.createDataFrame(data, "main_id int, sub_id int, title string")
