@@ -113,6 +113,38 @@ def test_quality_with_one_label_or_none(spark, graded):
         assert [r["score"] for r in got] == [0.5]
 
 
+def test_every_labelled_row_counts(spark):
+    """More rows than the former sample held; features of a text of the rare kind are in the sums."""
+    n = 24_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "BUY!! NOW!!").otherwise("the water and the house.").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"))
+    model = quality.fit(docs, labels)
+    both = quality.features(["BUY!! NOW!!", "the water and the house."], quality._classes())
+    assert np.allclose(model.mean, (both[0] + 2 * both[1]) / 3, rtol=1e-12, atol=1e-12)
+    got = {r["text"]: r["predicted"] for r in quality.score(docs, model).select("text", "predicted").distinct().collect()}
+    assert got == {"BUY!! NOW!!": 0, "the water and the house.": 1}
+    langs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "bb").otherwise("aa"))
+    assert np.allclose(np.exp(langid.fit(langs).prior), [2 / 3, 1 / 3], atol=1e-12)
+
+
+@pytest.mark.parametrize("n_good, n_bad", [(7, 3), (3, 7), (5, 1), (4, 4)])
+def test_each_row_is_in_two_pairs_at_least(spark, n_good, n_bad):
+    rows = [(i, i < n_good, [float(i + 1)]) for i in range(n_good + n_bad)]
+    z = spark.createDataFrame(rows, "key int, good boolean, z array<double>")
+    got = [r["d"][0] for r in quality._pairs(z, n_good, n_bad, 1, 7).collect()]
+    assert len(got) == 2 * max(n_good, n_bad)
+    goods, bads = [float(i + 1) for i in range(n_good)], [float(i + 1) for i in range(n_good, n_good + n_bad)]
+    assert set(got) <= {g - b for g in goods for b in bads}
+
+
+def test_quantile_of_a_table_equals_sorting(spark):
+    pick = np.random.default_rng(1)
+    for u in (pick.normal(size=5000), np.repeat([1.0, 2.0, 5.0], [10, 30, 60]), np.arange(4.0), np.array([3.0])):
+        table = spark.createDataFrame([(float(x),) for x in u], "u double")
+        for share in (0.0, 0.14, 0.5, 0.999):
+            assert abs(quality._quantile(table, share) - np.quantile(u, share)) < 1e-6
+
+
 def test_pairs_order_by_the_feature_that_matters():
     import numpy as np
 

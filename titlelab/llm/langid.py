@@ -26,8 +26,6 @@ from titlelab.llm.common import code_points, hash_share, map_columns, slices
 
 ORDERS = 3
 BUCKETS = 1 << 16
-#: Labelled rows the classifier is fitted on, chosen by a hash of their id.
-MAX_TRAIN = 20_000
 #: Characters a task takes through numpy at a time, and cells (characters x languages) it gathers.
 PIECE = 1 << 19
 CELLS = 1 << 22
@@ -88,12 +86,14 @@ def _buckets(codes: np.ndarray, starts: np.ndarray, buckets: int) -> list[np.nda
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        buckets: int = BUCKETS, max_train: int = MAX_TRAIN) -> Model:
-    """Learn from rows with a text and a language, at most about ``max_train`` of them."""
+        buckets: int = BUCKETS, max_train: int | None = None) -> Model:
+    """Learn from all rows with a text and a language; only if ``max_train`` is given, from about as many."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    there = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key).count()
-    rows = rows.where(hash_share("key", there, max_train)).select("text", "lang")
+    if max_train is not None:
+        there = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key).count()
+        rows = rows.where(hash_share("key", there, max_train))
+    rows = rows.select("text", "lang")
     alphabet = docs.sparkSession.sparkContext.broadcast(_letters())
 
     def run(batches):

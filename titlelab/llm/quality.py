@@ -1,9 +1,10 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 Each text becomes a short vector of surface features. Pairs (a good row, a bad row) are drawn
-from the labelled rows, and the utility weights minimise the logistic loss on the difference of
-their features. The threshold is the utility's quantile at the share of bad rows; scores are
-the logistic of the distance from it, shifted so that the threshold scores ``CUT``.
+from the labelled rows, each row in two of them at least, and the utility weights minimise the logistic loss on
+the difference of their features. Features, pairs and the sums of each Newton step are made by Spark from all
+labelled rows; only sums come to the driver. The threshold is the utility's quantile at the share of bad rows;
+scores are the logistic of the distance from it, shifted so that the threshold scores ``CUT``.
 
 Defined results: null text counts as empty; the empty text has a score like any other. Equal
 texts have equal scores. Without both labels in the training rows every utility is 0 and every
@@ -20,11 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titlelab.llm.common import code_points, hash_share, map_columns, slices
+from titlelab.llm.common import code_points, map_columns, slices
+from titlelab.operators.ranking import numbered
+from titlelab.session import durable
 
-#: Labelled rows the ranking is fitted on, chosen by a hash of their id.
-MAX_TRAIN = 20_000
-PAIRS = 200_000
+#: Pairs at least, and pairs a row of the larger class is in at least.
+PAIRS, PAIRS_OF_ROW = 200_000, 2
+#: Steps into which the range of utilities is cut, twice, to find a quantile.
+STEPS = 50_000
 CUT = 0.3
 N_CLASSES = 8  # lower, upper, other letter, digit, space, line break, sentence mark, symbol
 
@@ -89,16 +93,11 @@ def _words(text: str) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-        label: str = "quality", max_train: int = MAX_TRAIN, pairs: int = PAIRS, seed: int = 7) -> Model:
-    """Learn from the labelled rows, about ``max_train`` of them at most.
-
-    The labelled sample is bounded, so it is joined by broadcast and its feature vectors
-    (a few dozen numbers a row) come to the driver, where a small convex problem is solved.
-    """
+        label: str = "quality", pairs: int = PAIRS, seed: int = 7) -> Model:
+    """Learn from all labelled rows."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     known = known.where("key IS NOT NULL AND label IS NOT NULL")
-    known = known.where(hash_share("key", known.count(), max_train))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key")
 
     def start():
         classes = _classes()
@@ -108,48 +107,129 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
         return compute
 
-    got = map_columns(rows, ["text"], "x array<double>", start, ["key", "label"]).toArrow()
-    if got.num_rows == 0:
+    rows = durable(map_columns(rows, ["text"], "x array<double>", start, ["key", "label"]).withColumn("good", F.col("label") > 0))
+    size = features([""], _classes()).shape[1]
+    sums = [f(F.get("x", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(size)]
+    n, n_good, *moments = rows.agg(F.count("*"), F.count_if("good"), *sums).first()
+    if not n:
         return Model(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 0.0)
-    x = np.array(got.column("x").to_pylist())
-    y = got.column("label").to_numpy() > 0
-    order = np.lexsort((*x.T, got.column("key").to_numpy()))  # the same rows in the same order each time
-    x, y = x[order], y[order]
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.clip((x - mean) / scale, -6, 6)
-    good, bad = z[y], z[~y]
-    if not len(good) or not len(bad):
-        return Model(mean, scale, np.zeros(z.shape[1]), 0.0, 0.0)
-    pick = np.random.default_rng(seed)
-    weights = bradley_terry(good[pick.integers(0, len(good), pairs)] - bad[pick.integers(0, len(bad), pairs)])
-    utility = z @ weights
-    threshold = float(np.quantile(utility, len(bad) / len(z)))
-    return Model(mean, scale, weights, threshold, float(1 / (utility.std() + 1e-9)) * 2)
-
-
-def bradley_terry(differences: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    mean, scale = np.array(moments[:size]), np.array(moments[size:]) + 1e-9
+    n_bad = n - n_good
+    if not n_good or not n_bad:
+        return Model(mean, scale, np.zeros(size), 0.0, 0.0)
+
+    def scaled():
+        return lambda column: [list(np.clip((column.flatten().to_numpy().reshape(-1, size) - mean) / scale, -6, 6))]
+
+    z = durable(map_columns(rows, ["x"], "z array<double>", scaled, ["key", "good"]))
+    weights = _newton(_sums(_pairs(z, n_good, n_bad, pairs, seed), size), size)
+
+    def utilities():
+        return lambda column: [column.flatten().to_numpy().reshape(-1, size) @ weights]
+
+    utility = durable(map_columns(z, ["z"], "u double", utilities, []))
+    spread = utility.agg(F.stddev_pop("u")).first()[0]
+    return Model(mean, scale, weights, _quantile(utility, n_bad / n), float(1 / (spread + 1e-9)) * 2)
+
+
+def _pairs(z: DataFrame, n_good: int, n_bad: int, least: int, seed: int) -> DataFrame:
+    """``d``, the features of a good row less those of a bad one. Both classes are in hash order; the rows of the
+    larger one are taken in turn, again and again, and those of the smaller one move on from turn to turn."""
+    larger, smaller = max(n_good, n_bad), min(n_good, n_bad)
+    turns = max(PAIRS_OF_ROW, -(-least // larger))
+    order = z.withColumn("h", F.xxhash64(F.lit(seed), "key", "z"))
+    sides = {}
+    for good, name in ((True, "g"), (False, "b")):
+        own = numbered(order.where(F.col("good") == good).select("h", "z"), ["h"], "no")
+        sides[good] = durable(own.select((F.col("no") - 1).alias(f"no_{name}"), F.col("z").alias(name)))
+    at, turn = F.pmod("id", F.lit(larger)), F.floor(F.col("id") / larger)
+    other = F.pmod(F.col("id") + turn * 7919, F.lit(smaller))
+    drawn = z.sparkSession.range(larger * turns).select((at if n_good >= n_bad else other).alias("no_g"), (other if n_good >= n_bad else at).alias("no_b"))
+    met = drawn.join(sides[True], "no_g").join(sides[False], "no_b")
+    return durable(met.select(F.zip_with("g", "b", lambda g, b: g - b).alias("d")))
+
+
+def _loss(differences: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Sums of log(1 + exp(-w.d)), its slope and its curvature."""
+    product = differences @ weights
+    p = 1 / (1 + np.exp(np.clip(product, -50, 50)))  # of the wrong order
+    return np.logaddexp(0, -product).sum(), -(differences * p[:, None]).sum(0), (differences * (p * (1 - p))[:, None]).T @ differences
+
+
+def _sums(pairs: DataFrame, size: int):
+    """Function from weights to the number of pairs, loss, slope and curvature, summed up by Spark."""
+    loss = _loss
+
+    def at(weights):
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros(2 + size + size * size)
+            for batch in batches:
+                d = batch.column("d").flatten().to_numpy().reshape(-1, size)
+                value, slope, curve = loss(d, weights)
+                total += np.concatenate([[len(d), value], slope, curve.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+
+        got = pairs.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # a row for each number
+        total = np.zeros(2 + size + size * size)
+        total[got.column("i").to_numpy()] = got.column("v").to_numpy()
+        return total[0], total[1], total[2 : 2 + size], total[2 + size :].reshape(size, size)
+
+    return at
+
+
+def _quantile(utility: DataFrame, share: float) -> float:
+    """The quantile of ``u``, between the two rows next to it in ascending order."""
+    low, high, n = utility.agg(F.min("u"), F.max("u"), F.count("*")).first()
+    at = share * (n - 1)
+    below, above = (_ranked(utility, r, low, high) for r in (int(at), min(int(at) + 1, n - 1)))
+    return below + (at - int(at)) * (above - below)
+
+
+def _ranked(utility: DataFrame, rank: int, low: float, high: float) -> float:
+    """The value of ``u`` that has ``rank`` rows before it, up to a step of a step of the range."""
+    for _ in range(2):
+        if high <= low:
+            break
+        width = (high - low) / STEPS
+        place = F.least(F.lit(STEPS - 1), F.floor((F.col("u") - low) / width)).cast("int")
+        counts = utility.where(F.col("u").between(low, high)).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"))
+        for row in sorted(counts.collect()):  # at most a row for each step
+            if rank < row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            rank -= row["n"]
+    return float(low)
+
+
+def _newton(sums, size: int, penalty: float = 1e-3, rounds: int = 30) -> np.ndarray:
     """Weights that minimise mean log(1 + exp(-w.d)) + penalty/2 |w|^2, by damped Newton steps."""
-    weights = np.zeros(differences.shape[1])
 
-    def loss(w):
-        return np.logaddexp(0, -(differences @ w)).mean() + penalty / 2 * w @ w
+    def at(weights):
+        n, value, slope, curve = sums(weights)
+        return value / n + penalty / 2 * weights @ weights, slope / n + penalty * weights, curve / n + penalty * np.eye(size)
 
-    now = loss(weights)
+    weights = np.zeros(size)
+    now, slope, curve = at(weights)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(differences @ weights, -50, 50)))  # of the wrong order
-        slope = -(differences * p[:, None]).mean(0) + penalty * weights
-        curve = (differences * (p * (1 - p))[:, None]).T @ differences / len(differences)
-        step = np.linalg.solve(curve + penalty * np.eye(len(weights)), slope)
-        rate = 1.0
-        while rate > 1e-4 and loss(weights - rate * step) > now:
+        step, rate = np.linalg.solve(curve, slope), 1.0
+        found = at(weights - step)
+        while found[0] > now and rate > 1e-4:
             rate /= 2
-        weights = weights - rate * step
-        before, now = now, loss(weights)
+            found = at(weights - rate * step)
+        before = now
+        weights, (now, slope, curve) = weights - rate * step, found
         if before - now < 1e-9:
             break
     return weights
 
 
+def bradley_terry(differences: np.ndarray, penalty: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """The weights for pairs that are given as an array."""
+    return _newton(lambda w: (len(differences), *_loss(differences, w)), differences.shape[1], penalty, rounds)
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``utility``, ``score`` (0 to 1) and ``predicted`` (1 if score >= CUT)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
