@@ -176,3 +176,15 @@ def test_a_hot_main_is_split_when_predictions_are_resolved(spark, hot_titles):
         got = predict_member(asked, Catalog(main, subs), model)
         assert "skew=true" in final_plan(got)
     assert got.count() == 6000
+
+
+def test_entries_move_to_their_term_and_back_only(spark):
+    """Counting moves the lists of words; entries are shuffled for the join with the terms and for their id."""
+    from titlelab.operators import estimators
+
+    df = spark.range(40).select("id", F.array(F.lit("a"), F.concat(F.lit("b"), F.col("id") % 7), F.lit("a")).alias("words"))
+    entries = estimators.feature_entries(df.union(df.limit(1)), estimators.fit_features(df), "id")
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 0 and plan.count("Join") == 1
+    lengths = entries.groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("w")), 9).alias("n"), F.count("*").alias("terms"))
+    assert {(r.n, r.terms) for r in lengths.collect()} == {(1.0, 2)} and lengths.count() == 40
