@@ -107,6 +107,13 @@ def test_quality_of_odd_texts(spark, graded):
     assert got[0]["score"] == got[1]["score"]
 
 
+def test_quality_moves_features_to_the_labels_and_no_texts(spark, graded, monkeypatch):
+    plans, write = [], quality.durable
+    monkeypatch.setattr(quality, "durable", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    quality.fit(graded, graded.select("doc_id", "quality"))
+    assert "text" in plans[0] and 0 <= plans[0].find("Join") < plans[0].find("MapInArrow")
+
+
 def test_quality_with_one_label_or_none(spark, graded):
     for labels in (graded.select("doc_id", F.lit(1).alias("quality")), graded.select("doc_id", "quality").limit(0)):
         got = quality.score(graded, quality.fit(graded, labels)).select("score").distinct().collect()

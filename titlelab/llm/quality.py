@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Learn from all labelled rows."""
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     known = known.where("key IS NOT NULL AND label IS NOT NULL")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
 
     def start():
         classes = _classes()
@@ -107,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
         return compute
 
-    rows = durable(map_columns(rows, ["text"], "x array<double>", start, ["key", "label"]).withColumn("good", F.col("label") > 0))
+    # texts stay where they are read; only their features are shuffled to the labels
+    featured = map_columns(texts, ["text"], "x array<double>", start, ["key"])
+    rows = durable(featured.join(known, "key").withColumn("good", F.col("label") > 0))
     size = features([""], _classes()).shape[1]
     sums = [f(F.get("x", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(size)]
     n, n_good, *moments = rows.agg(F.count("*"), F.count_if("good"), *sums).first()
