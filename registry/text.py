@@ -71,8 +71,9 @@ def benchmark_scores(spark, sf):
     docs, items = read_table(spark, "documents", sf), read_table(spark, "benchmark", sf)
     terms = durable(tv.term_counts(docs.select("doc_id", tv.clean_text("text").alias("text")), ["doc_id"]))
     idf = tv.fit_idf(terms.select("term", lit(1).alias("copies")), tv.row_total(docs))
-    asked = tv.term_counts(items.select(col("item_id").alias("query_id"), tv.clean_text("text").alias("text")), ["query_id"])
-    scores = cosine_scores(tv.tfidf(asked, idf, ["query_id"]), durable(tv.tfidf(terms, idf)))
+    asked = durable(tv.term_counts(items.select(col("item_id").alias("query_id"), tv.clean_text("text").alias("text")), ["query_id"]))
+    corpus = tv.tfidf(terms, idf, wanted=asked.select("term").distinct())
+    scores = cosine_scores(durable(tv.tfidf(asked, idf, ["query_id"])), corpus)
     return scores.select(col("query_id").alias("item_id"), "doc_id", F.round("score", SCORE_DIGITS).alias("score"))
 
 

@@ -115,6 +115,26 @@ def test_cosine_scores(spark):
     assert got[1, 2] == round(w[1]["bb"] * w[2]["bb"], 9) and got[1, 1] == 1.0 and (1, 3) not in got
 
 
+def test_weights_of_wanted_terms_only(spark):
+    """Other terms count for the length; ids that are null or repeated are one document."""
+    rows = [(i % 37 if i % 9 else None, t) for i, t in random_texts(60, 5).items()]
+    df = spark.createDataFrame([*rows, (50, None), (51, "")], "doc_id long, text string")
+    terms = text_vectors.term_counts(df, ["doc_id"])
+    idf = text_vectors.fit_idf(terms.withColumn("copies", F.lit(1)), text_vectors.row_total(df))
+    wanted = terms.select("term").distinct().orderBy("term").limit(5).union(spark.createDataFrame([("unseen",)], "term string"))
+    rounded = lambda t: values(t.withColumn("w", F.round("w", 9)))
+    some = text_vectors.tfidf(terms, idf, wanted=wanted)
+    assert rounded(some) == rounded(text_vectors.tfidf(terms, idf).join(wanted, "term", "left_semi").select("doc_id", "term", "df", "w"))
+    assert "Window" not in some._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_moved_before_they_are_cut_into_terms(spark):
+    terms = text_vectors.term_counts(frame(spark, {1: "aa bb aa", 2: "cc"}), ["doc_id"])
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.find("Generate explode") < plan.find("Exchange")
+    assert terms._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_mean_vector_ignores_unknown_words(spark):
     df = spark.createDataFrame([(1, ["a", "zz"]), (2, ["a", "a", "b"]), (3, ["zz"]), (4, [])], "id int, words array<string>")
     vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [4.0, 8.0])], "word string, vec array<double>")
