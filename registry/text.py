@@ -69,7 +69,8 @@ def similar_docs(spark, sf):
 def benchmark_scores(spark, sf):
     """Every score that is not zero between the benchmark's texts and the documents."""
     docs, items = read_table(spark, "documents", sf), read_table(spark, "benchmark", sf)
-    terms = durable(tv.term_counts(docs.select("doc_id", tv.clean_text("text").alias("text")), ["doc_id"]))
+    cleaned = docs.select("doc_id", tv.clean_text("text").alias("text"))
+    terms = durable(tv.term_counts(cleaned, ["doc_id"], tasks=tv.counting_tasks(docs)))
     idf = tv.fit_idf(terms.select("term", lit(1).alias("copies")), tv.row_total(docs))
     asked = durable(tv.term_counts(items.select(col("item_id").alias("query_id"), tv.clean_text("text").alias("text")), ["query_id"]))
     corpus = tv.tfidf(terms, idf, wanted=asked.select("term").distinct())

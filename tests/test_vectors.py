@@ -97,13 +97,15 @@ def test_tasks_that_count_words_grow_with_the_texts(spark, monkeypatch):
     texts = random_texts(120, 3)
     df = frame(spark, texts)
     want = values(similar(df.withColumnRenamed("doc_id", "q"), df, "q", "doc_id"))
-    monkeypatch.setattr(similar_plan, "TASK_CHARS", 100)
+    monkeypatch.setattr(text_vectors, "TASK_CHARS", 100)
     rows = similar_plan._keyed(df, "doc_id", "text")
-    tasks = similar_plan._tasks(rows)
+    tasks = text_vectors.counting_tasks(rows)
     assert tasks == -(-sum(map(len, texts.values())) // 100) > 4
     assert similar_plan._counts(similar_plan._representatives(rows), tasks).rdd.getNumPartitions() == tasks
     assert values(similar(df.withColumnRenamed("doc_id", "q"), df, "q", "doc_id")) == want
-    assert similar_plan._tasks(rows.limit(0)) == 1
+    assert text_vectors.counting_tasks(rows.limit(0)) == 1
+    assert text_vectors.term_counts(rows, ["id"], tasks=7).rdd.getNumPartitions() == 7
+    assert values(text_vectors.term_counts(rows, ["id"], tasks=7)) == values(text_vectors.term_counts(rows, ["id"]))
 
 
 def test_common_terms_alone_pair_nothing(spark):

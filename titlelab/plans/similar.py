@@ -9,12 +9,9 @@ from titlelab.functions.text import tokens
 from titlelab.operators.labels import vocabulary
 from titlelab.operators.ranking import cap_per_group
 from titlelab.operators.similarity import MIN_SCORE, TOP_SIMILAR, top_in_blocks, top_similar
-from titlelab.operators.text_vectors import clean_text, fit_idf
+from titlelab.operators.text_vectors import clean_text, counting_tasks, fit_idf
 from titlelab.session import durable
 
-# Characters of text whose words one task counts; the number of tasks grows with the texts.
-TASK_CHARS = 2_000_000
-
 
 def similar(
     queries: DataFrame,
@@ -33,9 +30,9 @@ def similar(
     of a text and are summed up.
     """
     c_rows, q_rows = _keyed(corpus, doc_id, text), _keyed(queries, query_id, text)
-    terms = durable(_counts(_representatives(c_rows), _tasks(c_rows)))
+    terms = durable(_counts(_representatives(c_rows), counting_tasks(c_rows)))
     idf = fit_idf(terms, c_rows.agg(F.count("*")).scalar())
-    q_terms = _counts(_representatives(q_rows), _tasks(q_rows)).join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    q_terms = _counts(_representatives(q_rows), counting_tasks(q_rows)).join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     q_terms = durable(q_terms.select("id", "term", "df", "x"))
     numbers = vocabulary(q_terms.select("term", "df").distinct(), first_id=0)
     c = _unit(terms.join(idf.drop("df"), "term").withColumn("x", F.col("tf") * F.col("idf")), numbers)
@@ -63,14 +60,9 @@ def _representatives(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("text").alias("text"))
 
 
-def _tasks(rows: DataFrame) -> int:
-    """Number of tasks that count the words of ``rows``; a copy counts like its text."""
-    return -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 1) // TASK_CHARS)
-
-
 def _counts(rows: DataFrame, tasks: int) -> DataFrame:
     """``(id, copies, term, tf)`` of representatives. They lie by digest, so counting a text's terms with its
-    digest among the keys moves nothing; a task holds the terms of about ``TASK_CHARS`` characters."""
+    digest among the keys moves nothing; a task holds the terms of a bounded number of characters."""
     each = rows.repartition(tasks, "digest").select("digest", "id", "copies", F.explode(tokens("text")).alias("term"))
     return each.groupBy("digest", "id", "copies", "term").agg(F.count("*").alias("tf")).drop("digest")
 
