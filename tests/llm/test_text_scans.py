@@ -134,6 +134,72 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark, shard_tokens):
     assert page_texts(spark, pages, shard_tokens=shard_tokens) == covered_by_brute_force(streams, html.RUN)
 
 
+def chosen_by_brute_force(pages, run, least):
+    """Text of marked pages: units covered whole by runs of ``least`` distinct pages go, unless the longest is."""
+    held, out = {}, {}
+    streams = {i: (host, [w for unit in found for b in unit for w in (*b.split(), html.END)]) for i, (host, found) in pages.items()}
+    for host, words in {(h, tuple(w)) for h, w in streams.values()}:
+        for run_of in {words[k : k + run] for k in range(len(words) - run + 1)}:
+            held[host, run_of] = held.get((host, run_of), 0) + 1
+    for i, (host, words) in streams.items():
+        gone = [False] * len(words)
+        for k in range(len(words) - run + 1):
+            if held[host, tuple(words[k : k + run])] >= least:
+                gone[k : k + run] = [True] * run
+        at, judged = 0, []
+        for unit in pages[i][1]:
+            size = sum(len(b.split()) + 1 for b in unit)
+            plain = [g for w, g in zip(words[at : at + size], gone[at : at + size]) if w != html.END]
+            judged.append((len(plain), all(plain), unit))
+            at += size
+        copy = bool(judged) and max(judged, key=lambda u: u[0])[1]
+        out[i] = " ".join(b for _, repeated, unit in judged if copy or not repeated for b in unit)
+    return out
+
+
+@pytest.mark.parametrize("shard_tokens", [10**6, 12])
+def test_marked_pages_lose_the_units_that_different_articles_carry(spark, shard_tokens):
+    pick = random.Random(12)
+    teaser, notice = "read more of our news each morning in your inbox", "help us write on and give what you can today"
+
+    def words(n):
+        return " ".join(f"w{pick.randrange(40)}" for _ in range(n))
+
+    copied = [words(12), words(9)]
+    pages, found = [], {}
+    for i in range(40):
+        host = f"{'abc'[i % 3]}.example"
+        article = [words(pick.randint(3, 25)) for _ in range(pick.randint(1, 4))]
+        if i % 5 == 1:
+            article = [*copied, *article[: i % 2]]  # copies of one article
+        if i % 4 == 2:
+            article.insert(1, notice)  # inside an article: stays
+        units = [[notice]] if i % 3 else []
+        units.append(article)
+        if i % 2:
+            units.append([teaser, words(2) if i % 8 == 1 else "subscribe now"])
+        html_of = ["<main>"]
+        for unit in units:
+            blocks = "".join(f"<p>{b}</p>" for b in unit)
+            html_of.append(blocks if unit == [notice] else f"<article>{blocks}</article>")
+        pages.append((i, f"http://{host}/{i}", f"<nav>{notice}</nav>{''.join(html_of)}</main><footer>f", None))
+        found[i] = (host, units)
+    pages.append((40, *pages[39][1:]))
+    found[40] = found[39]
+    expected = chosen_by_brute_force(found, html.RUN, html.SHARED[1])
+    assert page_texts(spark, pages, shard_tokens=shard_tokens) == expected
+    whole = {i: " ".join(b for unit in f for b in unit) for i, (_, f) in found.items()}
+    assert sum(expected[i] != whole[i] for i in whole) > 10 and any(notice in t for t in expected.values())
+
+
+def test_a_repeated_article_stays_whole(spark):
+    text = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(6)]
+    # copies, and near copies with one block of their own, inside or beside
+    own = [f"own {i % 4} words here" for i in range(8)]
+    pages = [(i, "http://h/x", "<main><article>" + "".join(f"<p>{b}</p>" for b in text) + ("</article>" if i < 4 else "") + f"<p>{own[i]}</p>", None) for i in range(8)]
+    assert page_texts(spark, pages) == {i: " ".join([*text, own[i]]) for i in range(8)}
+
+
 def test_suffix_ranks_equal_sorting():
     pick = random.Random(2)
     tokens = np.array([pick.randint(0, 3) for _ in range(300)])
