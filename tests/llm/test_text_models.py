@@ -287,3 +287,55 @@ def test_blocks_and_tables_hash_words_alike(spark):
     table = spark.createDataFrame([(w,) for w in names], "word binary").withColumn("id", F.xxhash64("word"))
     for row in table.collect():
         assert row["id"] % 2**64 == xxhash.xxh64_intdigest(bytes(row["word"]), 42)
+
+
+def test_met_pairs_equal_counting(spark):
+    pick = random.Random(6)
+    texts = [" ".join(pick.choice("abcdefghij") * pick.randint(1, 2) for _ in range(pick.randint(0, 12))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t, i % 4 != 1) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(1)
+    cut = hpylm.blocks(rows, F.col("train"), 100).where("word IS NULL").collect()
+    assert len(cut) > 3
+    table = spark.createDataFrame(cut, hpylm.blocks(rows, F.col("train"), 100).schema)
+    met = hpylm.met_pairs(table, range_pairs=40).collect()
+    assert len({r["range"] for r in met}) > 2
+    held = {r["block"]: hpylm.Unpacked(r.asDict()) for r in cut}
+    counts = Counter()
+    for h in held.values():
+        for u, w, n in zip(h.hashes[h.before].tolist(), h.hashes[h.after].tolist(), h.trained.tolist()):
+            counts[u, w] += n
+    many = {(r["u"], r["w"]): r["count"] for r in met if r["block"] is None}
+    assert many == {p: n for p, n in counts.items() if n > 1}
+    order = {}
+    for k in {r["range"] for r in met}:
+        pairs = np.array([(r["u"], r["w"]) for r in met if r["range"] == k and r["block"] is None], np.int64).reshape(-1, 2)
+        order[k] = pairs[hpylm.pair_order(pairs[:, 0].copy(), pairs[:, 1].copy())].tolist()
+    got, want = {}, {}
+    for r in met:
+        if r["block"] is not None:
+            for at, place in zip(np.cumsum(hpylm.unpacked(r["steps"])).tolist(), hpylm.unpacked(r["places"]).tolist()):
+                assert (r["block"], at) not in got
+                got[r["block"], at] = tuple(order[r["range"]][place]) if place >= 0 else None
+    for block, h in held.items():
+        for at, (u, w, n) in enumerate(zip(h.hashes[h.before].tolist(), h.hashes[h.after].tolist(), h.trained.tolist())):
+            if counts[u, w] > 1:
+                want[block, at] = (u, w)
+            elif counts[u, w] > n:
+                want[block, at] = None
+    assert got == want
+
+
+def test_learning_keeps_only_the_tables_that_are_read_later(spark, monkeypatch):
+    import titlelab.session as session
+
+    written = []
+    monkeypatch.setattr(hpylm, "durable", lambda df: written.append(session.durable(df)) or written[-1])
+    words = session.durable(spark.createDataFrame([(w.encode(), i, 4) for i, w in enumerate("abc")], "word binary, id long, count long"))
+    words_after, seats, _, _ = hpylm.learn(words, spark.createDataFrame([(0, 1, 3), (1, 2, 2)], "u long, w long, count long"))
+    assert words_after.count() == 3 and seats.count() == 2 and words.count() == 3
+    assert sum(_exists(spark, t) for t in written) == 2
+
+
+def _exists(spark, table):
+    import os
+
+    return all(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in table.inputFiles())

@@ -11,9 +11,10 @@ Chinese-restaurant process, given all others; probabilities are averaged over th
 strength, chosen by leaving out each training token, so text without order falls back on words.
 
 How it is spread: texts are cut into blocks of bounded size where they lie, each with its own
-dictionaries of words and of pairs (previous word, word), so Spark shuffles (block, word) and
-(block, pair) rows and never (text, word) rows. A pair is known by 64-bit hashes of its words.
-One window over the pairs gives their training tokens. A pair with one token has one table in
+dictionaries of words and of pairs (previous word, word), so Spark shuffles (block, word) rows
+and the pairs of each block as packed arrays, and never (text, word) rows. A pair is known by
+64-bit hashes of its words. Ranges of the pairs' hashes, merged in a task each, give their
+training tokens. A pair with one token has one table in
 every sweep, so only pairs with more are seated, in a table of their own: with the word
 probability and the tables of the context of the sweep before. A word has as many tokens after
 it as it has itself, so a context's customers are the word's count, and what pairs with one
@@ -42,10 +43,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from titlelab.session import durable
+from titlelab.session import durable, release
 
 #: Bits a byte adds to the class of a context, the nearest byte first.
 CONTEXT_BITS = (8, 5, 3)
@@ -57,6 +57,8 @@ STRENGTH = 0.5
 #: Strengths that the contexts of words choose from.
 STRENGTHS = [STRENGTH * 2 ** (k / 2) for k in range(41)]
 END = b"\n"  # the end token; no word holds white space
+#: Pairs of a range of hashes, merged in one task.
+RANGE_PAIRS = 2_000_000
 #: Words that a task seats at a time.
 GATHERED = 200_000
 #: Customers seated one by one; from there the gaps between new tables come from the continuous law.
@@ -174,25 +176,107 @@ def blocks(docs: DataFrame, train: Column, block_chars: int = BLOCK_CHARS) -> Da
     return docs.select("doc_id", "text", train.alias("train")).mapInArrow(run, schema)
 
 
-def block_pairs(texts: DataFrame) -> DataFrame:
-    """(block, at, u, w, train): the pairs of each block, as hashes of the word before and the word."""
+def met_pairs(texts: DataFrame, range_pairs: int = RANGE_PAIRS) -> DataFrame:
+    """The pairs of all blocks, met in ranges of their hashes.
 
-    def run(batches):
+    A row (range, u, w, count) for each pair with more than one training token, as hashes of the word
+    before and the word, and a row (range, block, steps, places) for the pairs of a block: their
+    steps in the block's dictionary, and their places among the rows of the range in the order of
+    ``pair_order``, -1 for a pair whose only token is in another block. Left out are pairs whose only
+    token is in the block itself, and those without tokens.
+    """
+    most = texts.agg(F.sum(F.aggregate("kinds", F.lit(0).cast("long"), lambda n, k: n + k))).first()[0] or 0
+    ranges = most // range_pairs + 1
+
+    def send(batches):
         import pyarrow as pa
 
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 held = Unpacked(row)
-                for first in range(0, len(held.after), GATHERED):
-                    part = slice(first, first + GATHERED)
-                    n = len(held.after[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, row["block"], np.int64)), pa.array(np.arange(first, first + n, dtype=np.int32)),
-                         pa.array(held.hashes[held.before[part]]), pa.array(held.hashes[held.after[part]]), pa.array(held.trained[part])],
-                        names=["block", "at", "u", "w", "train"])
+                u, w = held.hashes[held.before], held.hashes[held.after]
+                of = (pair_hash(u, w) >> np.uint64(33)) % np.uint64(ranges)
+                order = np.argsort(of, kind="stable")
+                ends = np.searchsorted(of[order], np.arange(ranges + 1, dtype=np.uint64))
+                for k in range(ranges):
+                    at = order[ends[k] : ends[k + 1]]
+                    if len(at):
+                        steps, train = packed(np.diff(at, prepend=0)), packed(held.trained[at])
+                        yield pa.RecordBatch.from_pylist([{"range": k, "block": row["block"], "steps": steps, "train": train, "u": u[at].tobytes(), "w": w[at].tobytes()}], schema=kinds)
+
+    def merge(table):
+        import pyarrow as pa
+
+        rows = table.to_pylist()
+        u, w = (np.frombuffer(b"".join([r[c] for r in rows]), "<i8") for c in ("u", "w"))
+        steps = [unpacked(r["steps"]) for r in rows]
+        at, train = np.concatenate([np.cumsum(x) for x in steps]), np.concatenate([unpacked(r["train"]) for r in rows])
+        block = np.repeat(np.array([r["block"] for r in rows], np.int64), [len(x) for x in steps])
+        order = pair_order(u, w)
+        u, w, at, train, block = (x[order] for x in (u, w, at, train, block))
+        heads = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
+        sizes = np.diff(np.append(heads, len(u)))
+        total = np.add.reduceat(train, heads)
+        many = total > 1
+        count, place = np.repeat(total, sizes), np.repeat(np.where(many, np.cumsum(many) - 1, -1), sizes)
+        kept = np.flatnonzero((count > 1) | (count > train))
+        kept = kept[np.lexsort((at[kept], block[kept]))]
+        starts = np.flatnonzero(np.diff(block[kept], prepend=-1))
+        parts = [kept[a:b] for a, b in zip(starts, np.append(starts[1:], len(kept)))]
+        n, m = len(parts), int(many.sum())
+        return pa.table({
+            "range": pa.array(np.full(n + m, rows[0]["range"], np.int64)), "block": pa.array([*block[kept[starts]].tolist(), *[None] * m], pa.int64()),
+            "steps": pa.array([*[packed(np.diff(at[x], prepend=0)) for x in parts], *[None] * m], pa.binary()),
+            "places": pa.array([*[packed(place[x]) for x in parts], *[None] * m], pa.binary()),
+            **{c: pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x[heads][many])]) for c, x in (("u", u), ("w", w), ("count", count))},
+        })
+
+    import pyarrow as pa
+
+    kinds = pa.schema([("range", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("steps", "train", "u", "w")]])
+    sent = texts.select("block", "kinds", "trained", *PACKED).mapInArrow(send, "range long, block long, steps binary, train binary, u binary, w binary")
+    return sent.groupBy("range").applyInArrow(merge, "range long, block long, steps binary, places binary, u long, w long, count long")
+
+
+def seats_of_blocks(met: DataFrame, seats: DataFrame, judged: list[int]) -> DataFrame:
+    """(block, steps, n, t<s>): the training tokens and tables of the pairs of ``met``, packed."""
+
+    def run(left, right):
+        import pyarrow as pa
 
-    return texts.select("block", "kinds", "trained", *PACKED).mapInArrow(run, "block long, at int, u long, w long, train long")
+        order = pair_order(right.column("u").to_numpy(), right.column("w").to_numpy())
+        values = [np.append(right.column(c).to_numpy()[order], 1) for c in ("count", *[f"o{s}" for s in judged])]  # a pair with one token has one table
+        places = [unpacked(x) for x in left.column("places").to_pylist()]
+        made = [pa.array([packed(v[x]) for x in places], pa.binary()) for v in values]
+        return pa.Table.from_arrays([left.column("block"), left.column("steps"), *made], ["block", "steps", "n", *[f"t{s}" for s in judged]])
+
+    schema = "block long, steps binary, n binary, " + ", ".join(f"t{s} binary" for s in judged)
+    of_range = seats.withColumnRenamed("range", "of_range")
+    return met.groupBy("range").cogroup(of_range.groupBy("of_range")).applyInArrow(run, schema)
+
+
+def packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype("<i4").tobytes(), 1)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64)
+
+
+def pair_order(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the pairs in an order that depends on the pairs only; equal ones stand together."""
+    key = pair_hash(u, w)
+    order = np.argsort(key, kind="stable")
+    key, a, b = key[order], u[order], w[order]
+    if ((key[1:] == key[:-1]) & ((a[1:] != a[:-1]) | (b[1:] != b[:-1]))).any():
+        return np.lexsort((w, u, pair_hash(u, w)))
+    return order
+
+
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = (u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (w.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x2545F4914F6CDD1D)
 
 
 @dataclass
@@ -553,13 +637,14 @@ def learn(words: DataFrame, pairs: DataFrame, sweeps: int = SWEEPS) -> tuple[Dat
                 yield from table.drop_columns(["customers", "once"]).append_column(f"p{sweep}", pa.array(logp)).to_batches()
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema if f.name not in ("customers", "once"))
+        dead = [now, words] if sweep else [now]  # the first words are the caller's
         words = durable(now.mapInArrow(price, f"{kinds}, p{sweep} double"))
         last = model
         if sweep + 1 < sweeps:
             prior = words.select(F.col("id").alias("w"), F.col(f"p{sweep}").alias("base"))
             context = words.select(F.col("id").alias("u"), F.col(f"o{sweep}").alias("others"))
 
-            done = ["u", "w", "count", *[c for c in seats.columns if c[0] == "o"]]
+            done = [c for c in seats.columns if c != "tables"]
             joined = durable(seats.join(prior, "w").join(context, "u").select(*done, "tables", "others", "base"))
             strengths.append(strength_of(now.select("count", f"o{sweep}", "once"), joined, discount))
 
@@ -576,7 +661,9 @@ def learn(words: DataFrame, pairs: DataFrame, sweeps: int = SWEEPS) -> tuple[Dat
                     yield from held.to_batches()
 
             made = ["tables", *[f"o{s}" for s in judged if s == sweep + 1]]
+            dead += [joined, seats] if sweep else [joined]
             seats = durable(joined.mapInArrow(reseat, ", ".join(f"{c} long" for c in [*done, *made])))
+        release(*dead)
     for s in judged:
         if f"o{s}" not in seats.columns:  # the first sweep is the only one
             seats = seats.withColumn(f"o{s}", F.col("tables"))
@@ -595,23 +682,15 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     sums = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
     total, kinds = int(sums["n"]), int(sums["v"])
 
-    same = W.partitionBy("u", "w")
-    met = block_pairs(texts).withColumns({"count": F.sum("train").over(same), "owner": F.col("block") == F.min("block").over(same)})
     # a block knows of itself the pairs that it has the only token of
-    met = durable(met.where("count > 1 OR count > train").drop("train"))
-    words, seats, discount, strengths = learn(words, met.where("owner AND count > 1").select("u", "w", "count"), sweeps)
+    met = durable(met_pairs(texts))
+    words, seats, discount, strengths = learn(words, met.where("block IS NULL").select("u", "w", "count", "range"), sweeps)
     judged = list(strengths)
     priced = entries.select("block", "word", "at").join(words, "word").select(
-        "block", "at", F.lit(False).alias("pair"), "count", *[f"o{s}" for s in judged], *[f"p{s}" for s in judged]
-    )
-    no_price = [F.lit(0.0).alias(f"p{s}") for s in judged]
-    found = met.where("count > 1").drop("count", "owner").join(seats, ["u", "w"]).select(
-        "block", "at", F.lit(True).alias("pair"), "count", *[f"o{s}" for s in judged], *no_price
-    )
-    single = met.where("count = 1").select(
-        "block", "at", F.lit(True).alias("pair"), "count", *[F.lit(1).cast("long").alias(f"o{s}") for s in judged], *no_price
+        "block", "at", "count", *[f"o{s}" for s in judged], *[f"p{s}" for s in judged]
     )
-    priced = priced.union(found).union(single)
+    of_blocks = met.where("block IS NOT NULL").select("range", "block", "steps", "places")
+    priced = priced.unionByName(durable(seats_of_blocks(of_blocks, seats, judged)), allowMissingColumns=True)
     texts = texts.withColumnRenamed("block", "of_block")
     key_kind = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -620,10 +699,11 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
 
     def sums_of(left, right):
         import pyarrow as pa
+        import pyarrow.compute
 
-        is_pair = right.column("pair").to_numpy()
-        of_pairs, of_words = (right.filter(pa.array(x)) for x in (is_pair, ~is_pair))
-        at, place = of_words.column("at").to_numpy(), of_pairs.column("at").to_numpy()
+        is_pair = right.column("steps").is_valid()
+        of_pairs, of_words = right.filter(is_pair).to_pylist(), right.filter(pa.compute.invert(is_pair))
+        at = of_words.column("at").to_numpy()
         count = np.zeros(len(at), np.int64)
         count[at] = of_words.column("count").to_numpy()
         base = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
@@ -631,11 +711,14 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
         for row in left.to_pylist():  # one row
             held = Unpacked(row)
             n = held.trained.copy()
-            n[place] = of_pairs.column("count").to_numpy()
+            places = [np.cumsum(unpacked(x["steps"])) for x in of_pairs]
+            for place, x in zip(places, of_pairs):
+                n[place] = unpacked(x["n"])
             mean = np.zeros(len(n))
             for s in judged:
                 tables, opened, plain = np.minimum(n, 1), np.zeros(len(at), np.int64), np.zeros(len(at))
-                tables[place] = of_pairs.column(f"o{s}").to_numpy()
+                for place, x in zip(places, of_pairs):
+                    tables[place] = unpacked(x[f"t{s}"])
                 opened[at], plain[at] = of_words.column(f"o{s}").to_numpy(), np.exp(of_words.column(f"p{s}").to_numpy())
                 mean += after(n, tables, count[held.before], opened[held.before], plain[held.after], discount, strengths[s])
             logp = np.log10(mean / len(judged))
